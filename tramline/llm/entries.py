@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import queries_other as other
 from . import queries_text as text
 
 
@@ -9,6 +10,12 @@ def queries() -> dict:
     return {
         "op2_token_counts": text.op2_token_counts,
         "op3_byte_bpe": text.op3_byte_bpe,
+        "op4_quality_rules": other.op4_quality_rules,
+        "op6_warc": other.op6_warc,
+        "op7_mix": other.op7_mix,
+        "op8_toxicity": other.op8_toxicity,
+        "op9_exact_topk": other.op9_exact_topk,
+        "op10_chat_format": other.op10_chat_format,
     }
 
 
