@@ -87,7 +87,7 @@ def bag(text: str, index: dict[str, int]) -> list[list[int]]:
     return out
 
 
-def train(rows: list[tuple[str, int]], n_features: int = FEATURES, steps: int = 300, l2: float = 2e-4) -> Model:
+def train(rows: list[tuple[str, int]], n_features: int = FEATURES, steps: int = 200, l2: float = 2e-4) -> Model:
     """Fit from (text, 0/1) rows; needs both labels, else every score is the base rate."""
     rows = sorted(((t or "", int(y)) for t, y in rows))
     positive = sum(y for _, y in rows)
@@ -97,7 +97,8 @@ def train(rows: list[tuple[str, int]], n_features: int = FEATURES, steps: int =
     for text, y in rows:
         (pos if y else neg).update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
     n_pos, n_neg = positive, len(rows) - positive
-    odds = {f: np.log((c + 0.5) / (n_pos + 1)) - np.log((neg[f] + 0.5) / (n_neg + 1)) for f, c in pos.items() if c >= 3}
+    # a feature of at least 4 positives, most often seen in them
+    odds = {f: np.log((c + 0.5) / (n_pos + 1)) - np.log((neg[f] + 0.5) / (n_neg + 1)) for f, c in pos.items() if c >= 4 and c >= neg[f]}
     names = sorted(odds, key=lambda f: (-odds[f] * np.sqrt(pos[f]), f))[:n_features]
     index = {f: i for i, f in enumerate(names)}
     sent_doc, cols, sent_of, y = [], [], [], np.array([y for _, y in rows], float)
@@ -107,7 +108,9 @@ def train(rows: list[tuple[str, int]], n_features: int = FEATURES, steps: int =
             cols += hit
             sent_doc.append(d)
     sent_doc, cols, sent_of = np.array(sent_doc, np.int64), np.array(cols, np.int64), np.array(sent_of, np.int64)
-    w, b = np.zeros(len(names)), -3.0
+    # from the log odds of whole words on: documents that several words explain don't thin those words out
+    prior = np.array([0.0 if f.endswith("*") else min(6.0, odds[f]) for f in names])
+    w, b = prior.copy(), -5.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
         z = b + np.bincount(sent_of, w[cols], len(sent_doc))
@@ -117,7 +120,7 @@ def train(rows: list[tuple[str, int]], n_features: int = FEATURES, steps: int =
         doc = np.clip(-np.expm1(-miss), 1e-6, 1 - 1e-9)
         slope = np.where(y > 0, -np.exp(-miss) / doc, 1.0)  # d loss / d miss
         gz = slope[sent_doc] * p
-        gw = np.bincount(cols, gz[sent_of], len(w)) / len(y) + l2 * w
+        gw = np.bincount(cols, gz[sent_of], len(w)) / len(y) + l2 * (w - prior)
         gb = (gz.sum() + (slope * base).sum()) / len(y)
         mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
