@@ -67,13 +67,14 @@ def source_slots(targets: DataFrame, n_slots: int) -> DataFrame:
     return ranked.unionByName(extra)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 7, slot_words: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 7, slot_words: int | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, targets, schedule).
 
     rows: row, doc_id, source_no, size of each document; targets: see source_targets; schedule: slot,
     row, pass, from_word, n_words - the mixture in slot order, each piece of one document.
+    whole: rows also hold each document itself, in doc.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    rows = docs.select(*([F.struct("*").alias("doc")] if whole else []), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     targets = stage(source_targets(rows, weights, share, most), "mix-targets")
     n_rows, words, planned = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first() + targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()
@@ -81,7 +82,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     slots = stage(source_slots(targets, -(-int(planned) // slot_words)), "mix-slots")
     per_source = slots.groupBy("source_no").agg(F.count("*").alias("n_slots"))
     plan = targets.join(per_source, "source_no").withColumn("block", F.col("target") / F.col("n_slots"))
-    rows = rows.join(targets.select("source_no", "source"), rows["source"].eqNullSafe(targets["source"])).select("row", "doc_id", "source_no", "size")
+    rows = rows.join(targets.select("source_no", "source"), rows["source"].eqNullSafe(targets["source"])).select("row", "doc_id", "source_no", "size", *(["doc"] if whole else []))
+    all_rows, rows = rows, rows.drop("doc")
 
     h = F.xxhash64(F.lit(seed), "doc_id", "size")
     laid = rows.filter("size > 0").withColumn("h", h).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(max(16, n_rows // BUCKET_ROWS))))
@@ -94,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     pieces = laid.withColumn("rank", F.explode(F.sequence(first, last)))
     pieces = pieces.withColumn("a", F.greatest("start", edge(F.col("rank")))).withColumn("b", F.least(F.col("start") + F.col("size"), edge(F.col("rank") + 1))).filter("b > a")
     schedule = pieces.join(slots, ["source_no", "rank"]).select("slot", "row", "pass", (F.col("a") - F.col("start")).alias("from_word"), (F.col("b") - F.col("a")).alias("n_words"))
-    return rows, targets, schedule
+    return all_rows, targets, schedule
 
 
 def taken(rows: DataFrame, targets: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -102,3 +104,19 @@ def taken(rows: DataFrame, targets: DataFrame, schedule: DataFrame) -> DataFrame
     per_row = schedule.groupBy("row").agg(F.sum("n_words").alias("taken"))
     out = rows.join(targets.drop("source"), "source_no").join(per_row, "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The mixed documents, all columns of docs: a row for each pass in which words of it are taken.
+
+    A document of which a pass takes a part has those words, joined by one space; n_chars follows.
+    """
+    rows, _, schedule = mix(docs, whole=True, **how)
+    part = schedule.groupBy("row", "pass").agg(F.min("from_word").alias("first"), F.sum("n_words").alias("n"))
+    out = rows.join(part, "row")
+    words = F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), F.col("n").cast("int")), " ")
+    text = F.when(F.col("n") == F.col("size"), F.col("doc.text")).otherwise(cut)
+    kinds = dict(docs.dtypes)
+    new = {"text": text, "n_chars": F.length(text).cast(kinds.get("n_chars", "long"))}
+    return out.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

@@ -167,3 +167,15 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.3) -
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "start", "end", "probability"])
 
     return documents(docs).mapInArrow(run, "doc_id long, start int, end int, probability double")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+
+    def run(batches):
+        memo = model.word_weights()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([model.score(t or "", memo) < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
