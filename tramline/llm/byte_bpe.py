@@ -33,7 +33,7 @@ from .common import documents
 
 CHUNK_BYTES = 24 << 20
 LONG_WORD = 96
-SHIFT, LIMIT = 8, 1 << 24  # a pair counts as rank << 8 | position; one without a rank is at or over LIMIT
+MIX, NO_ID, NO_PAIR = 65537, 65535, 1 << 24  # NO_ID: an id no token has
 
 
 @lru_cache(2)
@@ -44,9 +44,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(2)
 def pair_table(path: str) -> tuple[list[int], list[int]]:
-    """The rank map as a perfect hash: displacement by key % len, then cell (key + displacement) % len.
+    """The rank map as a perfect hash: displacement by key % groups, then the cell at key + displacement.
 
-    key = left id << 16 | right id; a cell holds key << 16 | rank.
+    key = left id * MIX + right id (no two pairs share one); a cell holds key << 16 | rank.
     """
     import random
 
@@ -56,31 +56,30 @@ def pair_table(path: str) -> tuple[list[int], list[int]]:
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                pairs[a << 16 | b] = rank
-    groups, size = len(pairs) // 3 | 1, len(pairs) * 3 // 2 | 1
-    while math.gcd(groups, size) != 1:
-        size += 2
+                pairs[a * MIX + b] = rank
+    groups, size = len(pairs) // 4 | 1, 1 << (len(pairs).bit_length() + 1)  # no common factor
     buckets: list[list[int]] = [[] for _ in range(groups)]
     for key in pairs:
         buckets[key % groups].append(key)
-    displace, cells, rng = [0] * groups, [0xFFFF << 32] * size, random.Random(0)  # no token has id 0xFFFF
+    displace, cells, rng = [0] * groups, [NO_ID << 33] * size, random.Random(0)
     free = bytearray(b"\1") * size
     for g in sorted(range(groups), key=lambda g: -len(buckets[g])):
         keys = buckets[g]
         if keys:
             while True:
-                at = [(k + d) % size for d in (rng.randrange(size),) for k in keys]
+                d = rng.randrange(size)
+                at = [k + d & size - 1 for k in keys]
                 if all(free[c] for c in at) and len(set(at)) == len(at):
                     break
-            displace[g] = (at[0] - keys[0]) % size
+            displace[g] = d
             for c, k in zip(at, keys, strict=True):
                 free[c], cells[c] = 0, k << 16 | pairs[k]
     return displace, cells
 
 
 def find_rank(displace: list[int], cells: list[int], a: int, b: int) -> int:
-    key = a << 16 | b
-    c = cells[(key + displace[key % len(displace)]) % len(cells)]
+    key = a * MIX + b
+    c = cells[key + displace[key % len(displace)] & len(cells) - 1]
     return c & 0xFFFF if c >> 16 == key else -1
 
 
@@ -95,21 +94,25 @@ def let(value: Column, body) -> Column:
 
 
 def fold_merges(word: Column, tables: Column, sizes: tuple[int, int]) -> Column:
-    """Token ids of a word given as byte ids: ranked merges, smallest rank first, leftmost first."""
+    """Token ids of a word given as byte ids: ranked merges, smallest rank first, leftmost first.
+
+    best is the least rank << 8 | position of a pair; a pair without a rank has more than 16 bits of rank,
+    those in which its key and its cell differ.
+    """
     displace, cells = tables["displace"], tables["cells"]
     groups, size = sizes
+    rank = lambda k: F.get(cells, (k + F.get(displace, k % groups)).bitwiseAND(size - 1)).bitwiseXOR(F.shiftleft(k, 16))
 
     def best(ids: Column) -> Column:
         # the last id has no right neighbour: null, which array_min passes over
-        keys = F.transform(ids, lambda x, i: F.shiftleft(x.cast("long"), 16) + F.get(ids, i + 1))
-        found = lambda k, i: F.shiftleft(F.get(cells, ((k + F.get(displace, (k % groups).cast("int"))) % size).cast("int")).bitwiseXOR(F.shiftleft(k, 16)), SHIFT) + i
-        return F.array_min(F.transform(keys, found))
+        keys = F.transform(ids, lambda x, i: x * MIX + F.get(ids, i + 1))
+        return F.array_min(F.transform(keys, lambda k, i: F.shiftleft(rank(k), 8) + i))
 
     def step(state: Column, _: Column) -> Column:
         ids, m = state["ids"], state["m"]
-        at = m.bitwiseAND((1 << SHIFT) - 1).cast("int")
-        merged = F.concat(F.slice(ids, 1, at), F.array(F.shiftright(m, SHIFT).cast("int")), F.slice(ids, at + 3, F.size(ids)))
-        return F.when(m < LIMIT, let(merged, lambda x: F.struct(x.alias("ids"), best(x).alias("m")))).otherwise(state)
+        put = lambda p: F.filter(F.transform(ids, lambda x, i: F.when(i == p, F.shiftright(m, 8)).otherwise(x)), lambda x, i: i != p + 1)
+        merged = let(m.bitwiseAND(0xFF).cast("int"), put)
+        return F.when(m < NO_PAIR, let(merged, lambda x: F.struct(x.alias("ids"), best(x).alias("m")))).otherwise(state)
 
     return F.aggregate(word, F.struct(word.alias("ids"), best(word).alias("m")), step, lambda s: s["ids"])
 
@@ -146,18 +149,17 @@ def _lists(values: np.ndarray, lengths, kind) -> pa.Array:
 
 
 def pack_chunks(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows (docs: array<struct<doc_id, words: array<int>>>, words: array<array<int>>) of bounded chunks."""
+    """Rows (docs: array<struct<doc_id, words: array<int>>>, words: array<array<long>>) of bounded chunks."""
 
     def flush(ids, lengths, index, words, byte_ids, tables):
-        seen, width = [], []
-        for w in words:
-            raw = byte_ids[np.frombuffer(w.encode("utf-8", "surrogatepass"), np.uint8)]
-            if len(raw) > LONG_WORD:
-                raw = np.array(merge_long(raw.tolist(), *tables), np.int32)
-            seen.append(raw)
-            width.append(len(raw))
-        flat = np.concatenate(seen) if seen else np.empty(0, np.int32)
-        inner = _lists(flat.astype(np.int32), width, pa.int32())
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        width = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        if width.max(initial=0) > LONG_WORD:
+            parts = np.split(flat, np.cumsum(width)[:-1])
+            parts = [np.array(merge_long(p.tolist(), *tables), np.int64) if len(p) > LONG_WORD else p for p in parts]
+            flat, width = np.concatenate(parts), np.array([len(p) for p in parts])
+        inner = _lists(flat, width, pa.int64())
         own = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), _lists(np.concatenate(index), lengths, pa.int32())], ["doc_id", "words"])
         return pa.RecordBatch.from_arrays([_lists(own, [len(ids)], None), _lists(inner, [len(width)], None)], ["docs", "words"])
 
@@ -167,7 +169,7 @@ def pack_chunks(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> D
 
         find = regex.compile(public_tokenizers.PATTERN).findall
         ranks, tables = read_ranks(path), pair_table(path)
-        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
         class Words(dict):
             def __missing__(self, w):
@@ -176,9 +178,10 @@ def pack_chunks(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> D
 
         ids, lengths, index, words, held = [], [], [], Words(), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
                 found = find(text)
-                ids.append(doc_id)
+                ids.append(doc_id.as_py())
                 lengths.append(len(found))
                 index.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 held += len(text)
@@ -188,11 +191,11 @@ def pack_chunks(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> D
         if ids:
             yield flush(ids, lengths, index, words, byte_ids, tables)
 
-    return documents(docs).mapInArrow(run, "docs array<struct<doc_id:long,words:array<int>>>, words array<array<int>>")
+    return documents(docs).mapInArrow(run, "docs array<struct<doc_id:long,words:array<int>>>, words array<array<long>>")
 
 
 def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, ids (array<int>) of every row of docs."""
+    """doc_id, ids (array<long>) of every row of docs."""
     displace, cells = pair_table(path)
     tables = F.struct(literal_array(displace, "long").alias("displace"), literal_array(cells, "long").alias("cells"))
     chunk = pack_chunks(docs, path, chunk_bytes)
