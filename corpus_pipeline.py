@@ -13,6 +13,7 @@ from tramline.llm import byte_bpe, mixing, ngram_join, substring_dedup, toxicity
 from tramline.llm.common import stage
 
 TOXIC = 0.3
+CHUNK_BYTES = 12 << 20  # of the last stage, whose workers still hold what earlier stages left
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = F.col("ids")
-    return byte_bpe.encode(docs, path).select("doc_id", F.size(ids).cast("long").alias("n_tokens"), ids, byte_bpe.decode(ids, path).cast("string").alias("text"))
+    return byte_bpe.encode(docs, path, CHUNK_BYTES).select("doc_id", F.size(ids).cast("long").alias("n_tokens"), ids, byte_bpe.decode(ids, path).cast("string").alias("text"))
 
 
 STAGES = [

@@ -47,11 +47,11 @@ class _Chunk:
 
     def __init__(self, ids: list, texts: list, span: int, seed: int):
         memo = WordHash()
-        self.words = [split_words(t) for t in texts]
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
         self.hashes, self.selected = [], []
         keys, owner, self.anchor_count = [], [], []
-        for local, words in enumerate(self.words):
+        for local, text in enumerate(texts):
+            words = split_words(text)
             h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
             runs, at = anchors(h, span, seed)
             used, back = np.unique(runs[at], return_inverse=True)
@@ -177,17 +177,17 @@ def dedup(docs: DataFrame, span: int = SPAN, seed: int = SEED, carry: tuple[str,
         where, starts = where[gone], starts[gone]
         ends = np.searchsorted(where, np.arange(len(c.ids) + 1))
         texts, out = table.column("text").to_pylist(), []
-        for local, words in enumerate(c.words):
-            a, b = ends[local], ends[local + 1]
+        for local, text in enumerate(texts):
+            a, b, n = ends[local], ends[local + 1], len(c.hashes[local])
             if a == b:
-                out.append((len(words), 0, [], texts[local] or ""))
+                out.append((n, 0, [], text or ""))
                 continue
-            step = np.zeros(len(words) + 1, np.int32)
+            words, step = split_words(text), np.zeros(n + 1, np.int32)
             np.add.at(step, starts[a:b], 1)
             np.add.at(step, starts[a:b] + span, -1)
             removed = np.cumsum(step[:-1]) > 0
             kept = b" ".join([w for w, r in zip(words, removed.tolist(), strict=True) if not r]).decode("utf-8", "surrogatepass")
-            out.append((len(words), int(removed.sum()), spans(removed), kept))
+            out.append((n, int(removed.sum()), spans(removed), kept))
         frame = pd.DataFrame(out, columns=["n_words", "n_removed", "removed", "kept_text"])
         for name in reversed(("doc_id", *carry)):
             frame.insert(0, name, table.column(name).to_pandas(integer_object_nulls=True))
