@@ -154,7 +154,7 @@ def turn_lane_cells(value: Column) -> Column:
             empty.alias("empty"), (F.size(keep("none")) > 0).alias("none"), F.filter(tokens, lambda t: ~t.isin(*TURNS, "merge_to_left", "merge_to_right", "none") & ~empty).alias("unsupported"),
         )
 
-    cells = F.transform(F.split(F.lower(value), r"\|", -1), lambda c: cell(F.trim(c)))
+    cells = F.transform(F.split(F.lower(F.coalesce(value, F.lit(""))), r"\|", -1), lambda c: cell(F.trim(c)))
     return F.when(F.coalesce(F.trim(value), F.lit("")) == "", F.slice(cells, F.lit(1), F.lit(0))).otherwise(cells)
 
 
