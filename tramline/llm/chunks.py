@@ -19,6 +19,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ def build(docs: DataFrame, summarize: Callable, name: str, chunk_bytes: int = CH
 
         for batch in batches:
             at = 0
-            sizes = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             while at < batch.num_rows:
                 base = sizes[at - 1] if at else 0
                 fit = int(np.searchsorted(sizes, base + chunk_bytes - n_bytes, "right")) - at
