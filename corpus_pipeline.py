@@ -13,7 +13,7 @@ from tramline.llm import byte_bpe, mixing, ngram_join, substring_dedup, toxicity
 from tramline.llm.common import stage
 
 TOXIC = 0.3
-CHUNK_BYTES = 12 << 20  # of the last stage, whose workers still hold what earlier stages left
+CHUNK_BYTES = 6 << 20  # of the last stage, whose workers still hold what earlier stages left
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

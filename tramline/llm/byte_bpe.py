@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, release
 
 CHUNK_BYTES = 24 << 20
 LONG_WORD = 96
@@ -188,8 +188,11 @@ def pack_chunks(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> D
                 if held >= chunk_bytes or len(ids) >= 50_000:
                     yield flush(ids, lengths, index, words, byte_ids, tables)
                     ids, lengths, index, words, held = [], [], [], Words(), 0
+                    release()
         if ids:
             yield flush(ids, lengths, index, words, byte_ids, tables)
+        ids = lengths = index = words = None
+        release()
 
     return documents(docs).mapInArrow(run, "docs array<struct<doc_id:long,words:array<int>>>, words array<array<long>>")
 

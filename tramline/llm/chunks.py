@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_partitions, stage
+from .common import new_path, release, shuffle_partitions, stage
 
-CHUNK_BYTES, CHUNK_DOCS, POINTER = 32 << 20, 30_000, -1
+CHUNK_BYTES, CHUNK_DOCS, POINTER = 12 << 20, 30_000, -1
 PACKED = "chunk string, bucket int, keys binary, vals binary"
 _FIELDS = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 
@@ -114,8 +114,11 @@ def build(docs: DataFrame, summarize: Callable, name: str, chunk_bytes: int = CH
                 if at < batch.num_rows or n_bytes >= chunk_bytes or n_docs >= CHUNK_DOCS:
                     yield from flush()
                     held, n_bytes, n_docs = [], 0, 0
+                    release()
         if held:
             yield from flush()
+        held = None
+        release()
 
     return stage(docs.mapInArrow(run, PACKED), f"{name}-packed")
 
@@ -137,7 +140,9 @@ def ask(rows: DataFrame, answer: Callable) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         got = answer([unpack(k, v) for k, v in zip(pdf["keys"], pdf["vals"], strict=True)])
-        return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "answer": got})
+        out = pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "answer": got})
+        release()
+        return out
 
     return rows.groupBy("bucket").applyInPandas(run, "chunk string, bucket int, answer binary")
 
@@ -154,6 +159,8 @@ def visit(points: DataFrame, asides: DataFrame, fn: Callable, schema: str) -> Da
         if not len(p):
             return pd.DataFrame(columns=names)
         row = p.iloc[0]
-        return fn(row["chunk"], row["path"], row["summary"], a)
+        out = fn(row["chunk"], row["path"], row["summary"], a)
+        release()
+        return out
 
     return points.groupBy("chunk").cogroup(asides.groupBy("chunk")).applyInPandas(run, schema)

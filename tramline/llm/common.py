@@ -10,6 +10,7 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -97,5 +98,18 @@ def window_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return mix64(acc)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and a large chunk's leftovers with them."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

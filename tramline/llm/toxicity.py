@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, release
 
 SAMPLE, FEATURES, SEED_FOLD = 6000, 1500, 2
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -177,5 +177,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([model.score(t or "", memo) < threshold for t in texts], pa.bool_()))
+        memo.clear()
+        release()
 
     return docs.mapInArrow(run, docs.schema)
