@@ -226,3 +226,48 @@ def test_smallest_region(spark):
     r = spark.createDataFrame([("world", -180.0, -90.0, 180.0, 90.0), ("small", 0.0, 0.0, 10.0, 10.0), ("near", 9.0, 9.0, 30.0, 30.0)], "name string, w double, s double, e double, n double")
     assert roadmap.smallest_region(r, (1, 1, 2, 2)).collect()[0]["name"] == "small"
     assert roadmap.smallest_region(r.filter("name <> 'world'"), (9.5, 9.5, 20, 20)).collect()[0]["name"] == "near"
+
+
+@pytest.mark.parametrize(
+    ("xml", "state", "dialect", "code"),
+    [
+        ('<laneDefinitions><lanesToLinkAssignment linkIdRef="L"><lane id="1"><leadsTo><toLink refId="M"/></leadsTo></lane></lanesToLinkAssignment></laneDefinitions>', "present", "v2.0", None),
+        ('<laneDefinitions><lanesToLinkAssignment linkIdRef="L"><lane id="1"><toLink idRef="M"/></lane></lanesToLinkAssignment></laneDefinitions>', "present", "v1.1", None),
+        ('<lanes><assignment linkId="L"><lane id="1" toLinkIds="M, L"/></assignment></lanes>', "present", "model-1.0", None),
+        ('<laneDefinitions><lanesToLinkAssignment linkIdRef="L"><lane id="1"><toLink idRef="M"/></lane><lane id="2"><leadsTo><toLink refId="M"/></leadsTo></lane></lanesToLinkAssignment></laneDefinitions>', "invalid", None, "lanes.mixed_dialect"),
+        ("<laneDefinitions/>", "unsupported", None, "lanes.ambiguous_dialect"),
+        ('<laneDefinitions version="2.0"/>', "present", "v2.0", None),
+        ("<network/>", "unsupported", None, "lanes.unsupported_root"),
+        ('<laneDefinitions><lanesToLinkAssignment linkIdRef="L"><lane id="1"><leadsTo><toLink refId="Z"/></leadsTo></lane></lanesToLinkAssignment></laneDefinitions>', "invalid", "v2.0", "lanes.unresolved_link_ref"),
+    ],
+)
+def test_lane_dialects(spark, tmp_path, xml, state, dialect, code):
+    from tramline.sources import lane_files
+
+    (tmp_path / "lanes.xml").write_text(f'<?xml version="1.0"?>\n<!-- a <comment> -->\n{xml}')
+    got = lane_files.read(spark, str(tmp_path / "lanes.xml"), spark.createDataFrame([("L",), ("M",)], "link_id string"))
+    assert (got["state"], got["dialect"]) == (state, dialect)
+    assert [r["code"] for r in got["issues"].collect()] == ([code] if code else [])
+    if dialect == "model-1.0":
+        assert got["lanes"].collect()[0]["to_links"] == ["M", "L"]
+
+
+def test_facilities_of_a_map(spark, tmp_path):
+    from tests.fixtures import osm_xml
+    from tramline.functions.geometry import projector
+    from tramline.operators import facilities
+
+    extra = '<node id="50" lat="0.01" lon="0.01"><tag k="amenity" v="taxi"/><tag k="shop" v="kiosk"/><tag k="name" v="K"/><tag k="addr:city" v="C"/></node>'
+    corners = "".join(f'<node id="{60 + i}" lat="{0.001 * y}" lon="{0.001 * x}"/>' for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)]))
+    house = '<way id="70"><nd ref="60"/><nd ref="61"/><nd ref="62"/><nd ref="63"/><nd ref="60"/><tag k="building" v="apartments"/><tag k="building:levels" v="3"/></way>'
+    (tmp_path / "m.osm").write_text(osm_xml().replace('<way id="100">', extra + corners + house + '<way id="100">', 1))
+    t = roadmap.read(spark, str(tmp_path / "m.osm"))
+    out = facilities.from_map(t["nodes"], t["ways"], projector("EPSG:3857")[0])
+    acts = {r["facility_id"]: (r["type"], r["capacity"]) for r in out["facility_activities"].collect()}
+    assert set(acts) == {"n50", "w70"} and acts["n50"] == ("work", None)
+    area = (6_371_000 * 3.141592653589793 / 180 * 0.001) ** 2
+    assert acts["w70"][0] == "home" and abs(acts["w70"][1] - area * 3 // 30) <= 1
+    rows = {r["facility_id"]: r for r in out["facilities"].collect()}
+    assert rows["n50"]["description"] == "K" and rows["n50"]["attrs"]["addr:city"]["val"] == "C"
+    xml_files.facilities(out, str(tmp_path / "f.xml"))
+    assert scenario_xml.facilities(spark, str(tmp_path / "f.xml"))["facility_activities"].count() == 2

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, ids, tags, text, times
-from ..operators import calendar, mapping, network, roads, spatial, timetable, validate
+from ..operators import calendar, facilities, mapping, network, roads, spatial, timetable, validate
 from ..streaming import events
 from .derived import oracle, relation
 
@@ -702,3 +702,33 @@ def osm_attribute_typed(r):
 @query("SELECT s_suppkey, replace(s_name, '.', '..') || '.link:' || s_nationkey AS child FROM supplier")
 def child_stop_ids(r):
     return r("supplier").select("s_suppkey", ids.child_stop_id(F.col("s_name"), F.col("s_nationkey").cast("string")).alias("child"))
+
+
+@query("""+ t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'cafe' WHEN 1 THEN 'taxi' WHEN 2 THEN 'bank' END AS amenity, CASE WHEN p_partkey % 7 = 0 THEN 'bakery' END AS shop, CASE p_partkey % 3 WHEN 0 THEN 'house' WHEN 1 THEN 'school' ELSE 'garage' END AS building FROM part),
+  k AS (SELECT *, CASE WHEN amenity IS NOT NULL AND amenity <> 'taxi' THEN 'amenity' WHEN shop IS NOT NULL THEN 'shop' WHEN building <> 'garage' THEN 'building' END AS key FROM t)
+  SELECT p_partkey, key, CASE key WHEN 'amenity' THEN amenity WHEN 'shop' THEN shop ELSE building END AS value, CASE WHEN key = 'building' THEN CASE building WHEN 'house' THEN 'home' ELSE 'education' END WHEN key = 'amenity' AND amenity = 'cafe' THEN 'leisure' ELSE 'work' END AS activity FROM k WHERE key IS NOT NULL""")
+def facility_classification(r):
+    k = F.col("p_partkey")
+    amenity = F.when(k % 5 == 0, "cafe").when(k % 5 == 1, "taxi").when(k % 5 == 2, "bank")
+    pairs = F.array(F.struct(F.lit("amenity").alias("k"), amenity.alias("v")), F.struct(F.lit("shop").alias("k"), F.when(k % 7 == 0, "bakery").alias("v")), F.struct(F.lit("building").alias("k"), F.when(k % 3 == 0, "house").when(k % 3 == 1, "school").otherwise("garage").alias("v")))
+    t = r("part").select("p_partkey", F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("tags"))
+    f = t.withColumn("f", facilities.classify(F.col("tags"))).filter("f is not null")
+    return f.select("p_partkey", F.col("f.key").alias("key"), F.col("f.value").alias("value"), facilities.activity(F.col("f.key"), F.col("f.value")).alias("activity"))
+
+
+@query("""+ e AS (SELECT *, LEAD(kind) OVER (PARTITION BY person_id, plan_idx ORDER BY pos) AS nk FROM {d_elements}) SELECT kind, nk AS next_kind, COUNT(*) AS n FROM e GROUP BY 1, 2""")
+def plan_element_pairs(r):
+    from pyspark.sql import Window as W
+
+    after = F.lead("kind").over(W.partitionBy("person_id", "plan_idx").orderBy("pos"))
+    return r("d_elements").select("kind", after.alias("next_kind")).groupBy("kind", "next_kind").agg(F.count("*").alias("n"))
+
+
+@query(RULED + "SELECT way_id, 'dynamic-oneway' AS code FROM ruled WHERE oneway = 'reversible'")
+def dynamic_oneways(r):
+    return ruled(r).filter(tags.dynamic_oneway(F.col("tags"))).select("way_id", F.lit("dynamic-oneway").alias("code"))
+
+
+@query("""+ s AS (SELECT way_id, COUNT(*) AS n FROM {d_refs} GROUP BY 1) SELECT CAST(n AS BIGINT) AS refs, COUNT(*) AS ways, CAST(SUM(n) AS BIGINT) AS total FROM s GROUP BY 1""")
+def way_sizes(r):
+    return r("d_refs").groupBy("way_id").agg(F.count("*").alias("refs")).groupBy("refs").agg(F.count("*").alias("ways"), F.sum("refs").alias("total"))
