@@ -25,10 +25,22 @@ DEFAULT_SEATS, DEFAULT_STANDING = 30, 45
 WALK_KPH, MILE_KM = 5.0, 1.609344
 
 
-def _first(tags: Column, keys: list[str]) -> Column:
-    """'forbidden', 'restricted' or 'allowed' by the first key with a known answer."""
-    state = lambda v: F.when(v.isin(*FORBIDDEN), "forbidden").when(v.isin(*RESTRICTED), "restricted").when(v.isin(*ALLOWED), "allowed")
-    return F.coalesce(*(state(tags[k]) for k in keys))
+def _states(tags: Column):
+    """key -> 'forbidden', 'restricted', 'allowed' or null; each Column is built once."""
+    made: dict[str, Column] = {}
+
+    def of(key: str) -> Column:
+        if key not in made:
+            v = tags[key]
+            made[key] = F.when(v.isin(*FORBIDDEN), "forbidden").when(v.isin(*RESTRICTED), "restricted").when(v.isin(*ALLOWED), "allowed")
+        return made[key]
+
+    return of
+
+
+def _forbidden(state, keys: list[str]) -> Column:
+    """Is the first known answer of the keys that it's forbidden?"""
+    return F.coalesce(*map(state, keys), F.lit("")) == "forbidden"
 
 
 def access_keys(mode: str) -> list[str]:
@@ -37,24 +49,25 @@ def access_keys(mode: str) -> list[str]:
     return [mode, *(["psv"] if mode in ("bus", "pt") else []), *wide, "access"]
 
 
-def base_modes(tags: Column, modes: Column, known: tuple[str, ...]) -> Column:
-    """Modes the access tags leave; under access=no only those allowed by their own tag (or psv)."""
-    closed = F.coalesce(tags["access"].isin(*FORBIDDEN), F.lit(False))
+def _modes_where(known: tuple[str, ...], condition) -> Column:
+    """The known modes for which condition(mode) holds."""
+    return F.array_compact(F.array(*(F.when(condition(m), F.lit(m)) for m in known)))
 
-    def stays(m: str) -> Column:
-        own = [m, "psv"] if m in ("bus", "pt") else [m]
-        explicit = F.lit(False)
-        for k in own:
-            explicit = explicit | F.coalesce(tags[k].isin(*ALLOWED), F.lit(False))
-        return F.when(closed, explicit).otherwise(F.coalesce(_first(tags, access_keys(m)) != "forbidden", F.lit(True)))
 
-    return F.array_compact(F.array(*(F.when(F.array_contains(modes, m) & stays(m), F.lit(m)) for m in known)))
+def base_modes(tags: Column, modes: Column, known: tuple[str, ...]) -> Column:
+    """Modes the access tags leave; under access=no only those allowed by their own tag (or psv)."""
+    state = _states(tags)
+    allowed = lambda k: F.coalesce(state(k), F.lit("")) == "allowed"
+    explicit = _modes_where(known, lambda m: allowed(m) | allowed("psv") if m in ("bus", "pt") else allowed(m))
+    shut = _modes_where(known, lambda m: _forbidden(state, access_keys(m)))
+    closed = F.coalesce(state("access"), F.lit("")) == "forbidden"
+    return F.when(closed, F.array_intersect(modes, explicit)).otherwise(F.array_except(modes, shut))
 
 
 def direction_modes(tags: Column, modes: Column, direction: str, known: tuple[str, ...]) -> Column:
     """Modes that <key>:forward or <key>:backward doesn't forbid."""
-    stays = lambda m: F.coalesce(_first(tags, [f"{k}:{direction}" for k in access_keys(m)]) != "forbidden", F.lit(True))
-    return F.array_compact(F.array(*(F.when(F.array_contains(modes, m) & stays(m), F.lit(m)) for m in known)))
+    state = _states(tags)
+    return F.array_except(modes, _modes_where(known, lambda m: _forbidden(state, [f"{k}:{direction}" for k in access_keys(m)])))
 
 
 def oneway(tags: Column, default: Column) -> Column:
