@@ -539,13 +539,13 @@ def small_links(r) -> DataFrame:
     return k.select(ident.alias("link_id"), node(F.col("from_id")).alias("from_id"), node(F.col("link_id") * 7).alias("to_id"), F.when(F.col("link_id") % 3 == 0, F.array(F.lit("bus"), F.lit("car"))).otherwise(F.array(F.lit("car"))).alias("modes"), F.array((F.col("link_id") % 60).cast("string")).alias("ways"))
 
 
-SMALL = "+ l AS (SELECT 'L' || link_id AS link_id, from_id % 40 AS f, (link_id * 7) % 40 AS t, link_id % 3 = 0 AS bus, CAST(link_id % 60 AS VARCHAR) AS way FROM {d_links} WHERE link_id % 20 = 3), rel AS (SELECT n_nationkey AS id, CAST((n_nationkey * 20 + 3) % 60 AS VARCHAR) AS fw, CAST((n_nationkey * 40 + 23) % 60 AS VARCHAR) AS tw, (n_nationkey * 7 + 1) % 40 AS via, n_nationkey % 2 = 1 AS only_, n_nationkey % 5 = 0 AS ex FROM {nation})"
+SMALL = "+ l AS (SELECT 'L' || link_id AS link_id, from_id % 40 AS f, (link_id * 7) % 40 AS t, link_id % 3 = 0 AS bus, CAST(link_id % 60 AS VARCHAR) AS way FROM {d_links} WHERE link_id % 20 = 3), rel AS (SELECT n_nationkey AS id, CAST((n_nationkey * 20 + 3) % 60 AS VARCHAR) AS fw, CAST((n_nationkey * 40 + 23) % 60 AS VARCHAR) AS tw, n_nationkey % 2 * 20 + 1 AS via, n_nationkey % 2 = 1 AS only_, n_nationkey % 5 = 0 AS ex FROM {nation})"
 
 
 def relations(r) -> tuple[DataFrame, DataFrame]:
     n = F.col("n_nationkey")
     member = lambda kind, ref, role: F.struct(F.lit(kind).alias("type"), ref.cast("string").alias("ref"), F.lit(role).alias("role"))
-    every = F.array(member("way", (n * 20 + 3) % 60, "from"), member("node", (n * 7 + 1) % 40, "via"), member("way", (n * 40 + 23) % 60, "to"))
+    every = F.array(member("way", (n * 20 + 3) % 60, "from"), member("node", n % 2 * 20 + 1, "via"), member("way", (n * 40 + 23) % 60, "to"))
     rows = r("nation").select(n.alias("relation_id"), F.posexplode(every).alias("pos", "m")).select("relation_id", "pos", "m.*")
     tag = F.create_map(F.lit("type"), F.lit("restriction"), F.lit("restriction"), F.when(n % 2 == 1, "only_straight_on").otherwise("no_left_turn"), F.lit("except"), F.when(n % 5 == 0, "psv").otherwise(""))
     return rows, r("nation").select(n.alias("relation_id"), tag.alias("tags"))
@@ -732,3 +732,57 @@ def dynamic_oneways(r):
 @query("""+ s AS (SELECT way_id, COUNT(*) AS n FROM {d_refs} GROUP BY 1) SELECT CAST(n AS BIGINT) AS refs, COUNT(*) AS ways, CAST(SUM(n) AS BIGINT) AS total FROM s GROUP BY 1""")
 def way_sizes(r):
     return r("d_refs").groupBy("way_id").agg(F.count("*").alias("refs")).groupBy("refs").agg(F.count("*").alias("ways"), F.sum("refs").alias("total"))
+
+
+@query("SELECT link_id FROM {d_links} WHERE from_id = to_id AND from_id IN (SELECT node_id FROM {d_nodes})")
+def self_loops(r):
+    return validate.network_issues(r("d_nodes"), links(r)).filter("code = 'self_loop'").select(F.col("object_id").cast("long").alias("link_id"))
+
+
+@query("""+ p AS (SELECT way_id, pos, node_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {d_refs} JOIN {d_nodes} USING (node_id)), a AS (SELECT *, LAG(x) OVER w AS ax, LAG(y) OVER w AS ay, LEAD(x) OVER w AS cx, LEAD(y) OVER w AS cy FROM p WINDOW w AS (PARTITION BY way_id ORDER BY pos))
+  SELECT DISTINCT node_id FROM a WHERE degrees(atan2(abs((ax - x) * (cy - y) - (ay - y) * (cx - x)), (ax - x) * (cx - x) + (ay - y) * (cy - y))) < 145""")
+def sharp_bends(r):
+    ways = r("d_refs").groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda s: s["node_id"]).alias("refs"))
+    return roads.sharp_bends(ways, r("d_nodes").select("node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), 35.0)
+
+
+@query(RESTRICTED + "SELECT DISTINCT pr.from_link, pr.to_link, md.mode FROM pr JOIN md USING (id) JOIN rel USING (id) WHERE only_")
+def only_turn_complement(r):
+    members, relation_tags = relations(r)
+    only = relation_tags.filter(F.col("tags")["restriction"].startswith("only_"))
+    return roads.turn_restrictions(members, only, small_links(r))[0]
+
+
+@query(ACTIVE + FIRST + """, m AS (SELECT t.trip_id, CASE route_type WHEN 0 THEN 'tram' WHEN 1 THEN 'subway' WHEN 2 THEN 'rail' WHEN 4 THEN 'ferry' WHEN 5 THEN 'cable_car' WHEN 6 THEN 'aerial_lift' WHEN 7 THEN 'funicular' WHEN 11 THEN 'trolleybus' ELSE 'pt' END AS mode FROM {d_trips} t JOIN {d_routes} USING (route_id)),
+  each AS (SELECT trip_id, UNNEST(range(start_time, end_time, headway_secs)) AS t FROM often WHERE start_time < end_time)
+  SELECT 'feed:' || trip_id || ':' || day AS vehicle_id, mode AS type_id FROM runs_on JOIN m USING (trip_id) WHERE trip_id NOT IN (SELECT trip_id FROM often)
+  UNION ALL SELECT 'feed:' || trip_id || ':' || day || ':' || printf('%02d%02d%02d', t // 3600, t % 3600 // 60, t % 60), mode FROM runs_on JOIN m USING (trip_id) JOIN each USING (trip_id)""")
+def vehicle_per_departure(r):
+    patterns = r("d_trips").join(r("d_routes"), "route_id").select("trip_id", tags.route_mode(F.col("route_type")).alias("mode"))
+    return timetable.vehicles(all_departures(r), patterns)[1]
+
+
+@query(f"""+ e AS ({SPARSE}), reach(x, y) AS (SELECT a, a FROM e UNION SELECT b, b FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a),
+  c AS (SELECT p.x AS node, MIN(p.y) AS component FROM reach p JOIN reach q ON p.x = q.y AND p.y = q.x GROUP BY 1), k AS (SELECT a.component, COUNT(*) AS n FROM e JOIN c a ON e.a = a.node JOIN c b ON e.b = b.node WHERE a.component = b.component GROUP BY 1),
+  best AS (SELECT component FROM k ORDER BY n DESC, component LIMIT 1), gone AS (SELECT e.a, e.b FROM e JOIN c a ON e.a = a.node JOIN c b ON e.b = b.node WHERE NOT (a.component = b.component AND a.component = (SELECT component FROM best))),
+  weak(node, r) AS (SELECT a, a FROM gone UNION SELECT b, b FROM gone UNION SELECT weak.node, CASE WHEN gone.a = weak.r THEN gone.b ELSE gone.a END FROM weak JOIN gone ON weak.r = gone.a OR weak.r = gone.b), w AS (SELECT node, MIN(r) AS g FROM weak GROUP BY 1)
+  SELECT gone.a AS link_id, w.g AS "group" FROM gone JOIN w ON w.node = gone.a""")
+def quarantine_groups(r):
+    k = sparse_links(r).withColumns({"freespeed": F.lit(1.0), "capacity": F.lit(1.0), "lanes": F.lit(1.0)})
+    nodes = k.select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct().withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
+    return network.clean(nodes, k, ["car"])["quarantined"]
+
+
+def events_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream, counted by type in one availableNow run; rows only."""
+    import uuid
+
+    name = f"event_counts_{uuid.uuid4().hex}"
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet")
+    live = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("event_type").alias("type"))
+    q = events.counts(live).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+QUERIES["events_stream_counts"] = events_stream_counts
