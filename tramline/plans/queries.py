@@ -539,13 +539,13 @@ def small_links(r) -> DataFrame:
     return k.select(ident.alias("link_id"), node(F.col("from_id")).alias("from_id"), node(F.col("link_id") * 7).alias("to_id"), F.when(F.col("link_id") % 3 == 0, F.array(F.lit("bus"), F.lit("car"))).otherwise(F.array(F.lit("car"))).alias("modes"), F.array((F.col("link_id") % 60).cast("string")).alias("ways"))
 
 
-SMALL = "+ l AS (SELECT 'L' || link_id AS link_id, from_id % 40 AS f, (link_id * 7) % 40 AS t, link_id % 3 = 0 AS bus, CAST(link_id % 60 AS VARCHAR) AS way FROM {d_links} WHERE link_id % 20 = 3), rel AS (SELECT n_nationkey AS id, CAST((n_nationkey * 20 + 3) % 60 AS VARCHAR) AS fw, CAST((n_nationkey * 40 + 23) % 60 AS VARCHAR) AS tw, n_nationkey % 2 * 20 + 1 AS via, n_nationkey % 2 = 1 AS only_, n_nationkey % 5 = 0 AS ex FROM {nation})"
+SMALL = "+ l AS (SELECT 'L' || link_id AS link_id, from_id % 40 AS f, (link_id * 7) % 40 AS t, link_id % 3 = 0 AS bus, CAST(link_id % 60 AS VARCHAR) AS way FROM {d_links} WHERE link_id % 20 = 3), rel AS (SELECT n_nationkey AS id, CAST((n_nationkey * 20 + 3) % 60 AS VARCHAR) AS fw, CAST((n_nationkey * 40 + 23) % 60 AS VARCHAR) AS tw, CASE WHEN n_nationkey % 5 = 3 THEN 7 ELSE n_nationkey % 2 * 20 + 1 END AS via, n_nationkey % 2 = 1 AS only_, n_nationkey % 5 = 0 AS ex FROM {nation})"
 
 
 def relations(r) -> tuple[DataFrame, DataFrame]:
     n = F.col("n_nationkey")
     member = lambda kind, ref, role: F.struct(F.lit(kind).alias("type"), ref.cast("string").alias("ref"), F.lit(role).alias("role"))
-    every = F.array(member("way", (n * 20 + 3) % 60, "from"), member("node", n % 2 * 20 + 1, "via"), member("way", (n * 40 + 23) % 60, "to"))
+    every = F.array(member("way", (n * 20 + 3) % 60, "from"), member("node", F.when(n % 5 == 3, 7).otherwise(n % 2 * 20 + 1), "via"), member("way", (n * 40 + 23) % 60, "to"))
     rows = r("nation").select(n.alias("relation_id"), F.posexplode(every).alias("pos", "m")).select("relation_id", "pos", "m.*")
     tag = F.create_map(F.lit("type"), F.lit("restriction"), F.lit("restriction"), F.when(n % 2 == 1, "only_straight_on").otherwise("no_left_turn"), F.lit("except"), F.when(n % 5 == 0, "psv").otherwise(""))
     return rows, r("nation").select(n.alias("relation_id"), tag.alias("tags"))
