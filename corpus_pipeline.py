@@ -6,16 +6,43 @@ Parquet before the next one reads it. All but the last return the columns of doc
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm import byte_bpe, mixing, ngram_join, substring_dedup, toxicity
-from tramline.llm.common import stage
+from tramline.llm.common import collecting, remove, stage
 
 TOXIC = 0.3
 CHUNK_BYTES = 6 << 20  # of the last stage, whose workers still hold what earlier stages left
 
+_left: list[str] = []  # what the stage before has in the shared folder
+
+
+def tidy(step):
+    """Removes what the stage before left there: its result has been written and docs is read from that.
+
+    Docs that still read those files keep them.
+    """
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left and not any(p in f for f in docs.inputFiles() for p in _names(_left)):
+            remove(spark, _left)
+        with collecting() as paths:
+            out = step(spark, docs, sf_dir)
+        _left[:] = paths
+        return out
+
+    return run
+
+
+def _names(paths: list[str]) -> list[str]:
+    return [p.rsplit("/", 1)[-1] for p in paths]
+
 
+@tidy
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go; it learns from the labelled rows among docs."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,11 +50,13 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.keep_clean(docs, model, TOXIC)
 
 
+@tidy
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the least id stays."""
     return ngram_join.keep_first(docs)
 
 
+@tidy
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; a document of which nothing is left goes too."""
     other = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
@@ -36,11 +65,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
+@tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources in their target shares; a document comes once for each pass that takes it."""
     return mixing.mixture(docs)
 
 
+@tidy
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text decoded from them."""
     import public_tokenizers

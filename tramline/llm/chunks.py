@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, release, shuffle_partitions, stage
 
-CHUNK_BYTES, CHUNK_DOCS, POINTER = 12 << 20, 30_000, -1
+CHUNK_BYTES, CHUNK_DOCS, POINTER, TASKS = 12 << 20, 30_000, -1, 4
 PACKED = "chunk string, bucket int, keys binary, vals binary"
 _FIELDS = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 
@@ -120,10 +120,17 @@ def build(docs: DataFrame, summarize: Callable, name: str, chunk_bytes: int = CH
         held = None
         release()
 
-    return stage(docs.mapInArrow(run, PACKED), f"{name}-packed")
+    store = stage(docs.mapInArrow(run, PACKED), f"{name}-packed")
+    store._folder = folder
+    return store
 
 
 def pointers(store: DataFrame) -> DataFrame:
+    """chunk, path, summary of each chunk, staged, so that the packed rows can go before the chunks do."""
+    return stage(_pointers(store), "pointers")
+
+
+def _pointers(store: DataFrame) -> DataFrame:
     return store.filter(F.col("bucket") == POINTER).select("chunk", F.col("keys").cast("string").alias("path"), F.col("vals").alias("summary"))
 
 
@@ -163,4 +170,6 @@ def visit(points: DataFrame, asides: DataFrame, fn: Callable, schema: str) -> Da
         release()
         return out
 
-    return points.groupBy("chunk").cogroup(asides.groupBy("chunk")).applyInPandas(run, schema)
+    # pointer rows are small and their work isn't: a stated number keeps adaptive execution from joining them into few tasks
+    n = TASKS * shuffle_partitions(points.sparkSession)
+    return points.repartition(n, "chunk").groupBy("chunk").cogroup(asides.repartition(n, "chunk").groupBy("chunk")).applyInPandas(run, schema)

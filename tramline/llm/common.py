@@ -32,8 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_owners: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def collecting():
+    """The list of the paths that are made in this block, so that their owner can remove them."""
+    paths: list[str] = []
+    _owners.append(paths)
+    try:
+        yield paths
+    finally:
+        _owners.remove(paths)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    for paths in _owners:
+        paths.append(path)
+    return path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -48,10 +70,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, [df._staged_path])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

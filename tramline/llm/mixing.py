@@ -24,7 +24,7 @@ from .common import stage
 
 WEIGHTS = (3, 1, 2)
 PHI = 0.6180339887498949
-CHUNK, CELLS, BUCKET_ROWS = 1 << 16, 1 << 10, 20_000
+CHUNK, CELLS, BUCKET_ROWS = 1 << 10, 1 << 10, 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

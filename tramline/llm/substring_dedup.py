@@ -157,6 +157,7 @@ def dedup(docs: DataFrame, span: int = SPAN, seed: int = SEED, carry: tuple[str,
     store = chunks.build(rows, summarize, "substring")
     points = chunks.pointers(store)
     seeds = stage(chunks.ask(chunks.packed(store), _shared), "substring-seeds")
+    drop_stage(store)
 
     def extend(chunk, path, summary, asides):
         c, _ = _load(path, span, seed)
