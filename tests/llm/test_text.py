@@ -59,12 +59,29 @@ def test_bpe_chunks_do_not_matter(docs):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     one, many = (sorted((str(r[0]), list(r[1])) for r in byte_bpe.encode(docs, path, n).collect()) for n in (1 << 24, 50))
     assert one == many
+    ids = {(str(r["doc_id"]), r["ids_le"]) for r in byte_bpe.round_trip(docs, path, 50).select("doc_id", F.hex("ids_le").alias("ids_le")).collect()}
+    assert ids == {(i, struct.pack(f"<{len(x)}I", *x).hex().upper()) for i, x in one}
+
+
+def test_latin_splitting_equals_the_pattern():
+    import random
+
+    import regex
+
+    from tramline.llm.pretokens import splitter
+
+    full, split, rng = regex.compile(P.PATTERN).findall, splitter(), random.Random(1)
+    every = "".join(map(chr, range(256)))
+    for source in (every, " '\n\tsremltvdaé9\x85\xa0.", " aé中½\u3000'x"):
+        for _ in range(3000):
+            s = "".join(rng.choice(source) for _ in range(rng.randrange(12)))
+            assert split(s) == full(s)
 
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert token_counts.count_tokens(none, P.path("byte_bpe_50k.json")).count() == 0
-    assert byte_bpe.encode(none, P.path("byte_bpe_multi_50k.tiktoken")).count() == 0
+    assert byte_bpe.encode(none, P.path("byte_bpe_multi_50k.tiktoken")).count() == byte_bpe.round_trip(none, P.path("byte_bpe_multi_50k.tiktoken")).count() == 0
     assert quality.judge(none).count() == 0
 
 

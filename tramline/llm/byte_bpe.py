@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, release
+from .pretokens import splitter
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 32 << 20
 LONG_WORD = 96
 MIX, NO_ID, NO_PAIR = 65537, 65535, 1 << 24  # NO_ID: an id no token has
 
@@ -164,10 +165,7 @@ def pack_chunks(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> D
         return pa.RecordBatch.from_arrays([_lists(own, [len(ids)], None), _lists(inner, [len(width)], None)], ["docs", "words"])
 
     def run(batches):
-        import public_tokenizers
-        import regex
-
-        find = regex.compile(public_tokenizers.PATTERN).findall
+        find = splitter()
         ranks, tables = read_ranks(path), pair_table(path)
         byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
@@ -197,26 +195,45 @@ def pack_chunks(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> D
     return documents(docs).mapInArrow(run, "docs array<struct<doc_id:long,words:array<int>>>, words array<array<long>>")
 
 
-def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, ids (array<long>) of every row of docs."""
+def _merged(path: str) -> Column:
+    """The ids of the chunk's distinct words."""
     displace, cells = pair_table(path)
     tables = F.struct(literal_array(displace, "long").alias("displace"), literal_array(cells, "long").alias("cells"))
-    chunk = pack_chunks(docs, path, chunk_bytes)
-    merged = let(tables, lambda t: F.transform("words", lambda w: fold_merges(w, t, (len(displace), len(cells)))))
+    return let(tables, lambda t: F.transform("words", lambda w: fold_merges(w, t, (len(displace), len(cells)))))
+
+
+def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, ids (array<long>) of every row of docs."""
     ids_of = lambda all_words: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["words"], lambda i: F.get(all_words, i))).alias("ids")))
-    return chunk.select(F.inline(let(merged, ids_of)))
+    return pack_chunks(docs, path, chunk_bytes).select(F.inline(let(_merged(path), ids_of)))
 
 
-def decode(ids: Column, path: str) -> Column:
-    """The bytes of an array of ids; a null array gives null, an empty one no bytes."""
+def round_trip(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, ids_le (the ids as little-endian unsigned 32-bit integers) and decoded (their bytes), both binary.
+
+    Each distinct word's ids are written and decoded once; a document concatenates its words' pieces.
+    """
+    tables = F.struct(literal_array(_id_words(path), "string").alias("le"), literal_array(_pieces(path), "string").alias("piece"))
+    join = lambda ids, p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")
+    both = let(_merged(path), lambda words: let(tables, lambda t: F.struct(F.transform(words, lambda ids: join(ids, t["le"])).alias("le"), F.transform(words, lambda ids: join(ids, t["piece"])).alias("piece"))))
+    doc = lambda e: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.unhex(join(d["words"], e["le"])).alias("ids_le"), F.unhex(join(d["words"], e["piece"])).alias("decoded")))
+    return pack_chunks(docs, path, chunk_bytes).select(F.inline(let(both, doc)))
+
+
+def _pieces(path: str) -> list[str]:
+    """Bytes of each id, in hexadecimal."""
     ranks = read_ranks(path)
     pieces = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
-    return F.unhex(F.array_join(let(literal_array(pieces, "string"), lambda p: F.transform(ids, lambda i: F.get(p, i))), ""))
+    return pieces
 
 
-def little_endian(ids: Column, size: int) -> Column:
-    """The ids as little-endian unsigned 32-bit integers, one binary."""
-    words = [i.to_bytes(4, "little").hex() for i in range(size)]
-    return F.unhex(F.array_join(let(literal_array(words, "string"), lambda p: F.transform(ids, lambda i: F.get(p, i))), ""))
+def _id_words(path: str) -> list[str]:
+    """Each id as a little-endian unsigned 32-bit integer, in hexadecimal."""
+    return [i.to_bytes(4, "little").hex() for i in range(max(read_ranks(path).values()) + 1)]
+
+
+def decode(ids: Column, path: str) -> Column:
+    """The bytes of an array of ids; a null array gives null, an empty one no bytes."""
+    return F.unhex(F.array_join(let(literal_array(_pieces(path), "string"), lambda p: F.transform(ids, lambda i: F.get(p, i))), ""))

@@ -24,11 +24,6 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path)
-    ids = F.col("ids")
-    return encoded.select(
-        "doc_id",
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(byte_bpe.little_endian(ids, len(byte_bpe.read_ranks(path))), 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decode(ids, path), 256).alias("decoded_sha256"),
-    )
+    out = byte_bpe.round_trip(table(spark, sf_dir, "documents"), path)
+    n = (F.octet_length("ids_le") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents
+from .pretokens import splitter
 
 CACHE = 300_000
 
@@ -87,9 +88,9 @@ def count_tokens(docs: DataFrame, path: str, max_tokens: int = 1024) -> DataFram
     def run(batches):
         import regex
 
-        pattern, model, chars, whole, special = load(path)
+        _, model, chars, whole, special = load(path)
         counts, cut = Counts(whole, model, chars), regex.compile("|".join(map(regex.escape, special))) if special else None
-        get, find = counts.__getitem__, pattern.findall
+        get, find = counts.__getitem__, splitter()
         for batch in batches:
             n_bytes, n_tokens = [], []
             for text in batch.column(1).to_pylist():
