@@ -1,6 +1,7 @@
 """Scenario files: rows become XML text on the executors, and reach one file in id order, streamed.
 
-An attribute that is null isn't written. `write_parts` writes the same text as part files instead, for
+An attribute that is null isn't written. A DOCTYPE or namespace is a parameter (the whole declaration,
+or the attribute with its leading space). `write_parts` writes the same text as part files instead, for
 tables too large for one file.
 """
 
@@ -83,13 +84,13 @@ def link_text(k: DataFrame) -> Column:
     return element("link", {"id": F.col("link_id"), "from": F.col("from_id"), "to": F.col("to_id"), "length": F.col("length"), "freespeed": F.col("freespeed"), "capacity": F.col("capacity"), "permlanes": F.col("lanes"), "modes": F.array_join(F.array_sort("modes"), ",")}, bag(of(k, "attrs")))
 
 
-def network(t: dict[str, DataFrame], path: str, cap_period: str | None = None) -> None:
+def network(t: dict[str, DataFrame], path: str, cap_period: str | None = None, doctype: str = "") -> None:
     n, k = t["nodes"], t["links"]
     links = f'<links capperiod="{cap_period}">' if cap_period else "<links>"
-    write_file(path, "network", ["<nodes>", lines(n, ["node_id"], node_text(n)), "</nodes>", links, lines(k, ["link_id"], link_text(k)), "</links>"], doctype='<!DOCTYPE network SYSTEM "http://www.matsim.org/files/dtd/network_v2.dtd">')
+    write_file(path, "network", ["<nodes>", lines(n, ["node_id"], node_text(n)), "</nodes>", links, lines(k, ["link_id"], link_text(k)), "</links>"], doctype=doctype)
 
 
-def population(t: dict[str, DataFrame], path: str) -> None:
+def population(t: dict[str, DataFrame], path: str, doctype: str = "") -> None:
     from ..functions.times import format_clock
 
     e = t["elements"]
@@ -100,10 +101,10 @@ def population(t: dict[str, DataFrame], path: str) -> None:
     plans = t["plans"].join(inner, ["person_id", "plan_idx"], "left")
     plan = element("plan", {"selected": F.when(F.col("selected"), "yes").otherwise("no")}, F.col("_e"))
     p = t["persons"].join(_parent(plans, ["person_id"], ["plan_idx"], plan, "_p"), "person_id", "left")
-    write_file(path, "population", [lines(p, ["person_id"], element("person", {"id": F.col("person_id")}, bag(of(p, "attrs")), F.col("_p")))], doctype='<!DOCTYPE population SYSTEM "http://www.matsim.org/files/dtd/population_v6.dtd">')
+    write_file(path, "population", [lines(p, ["person_id"], element("person", {"id": F.col("person_id")}, bag(of(p, "attrs")), F.col("_p")))], doctype=doctype)
 
 
-def schedule(t: dict[str, DataFrame], path: str) -> None:
+def schedule(t: dict[str, DataFrame], path: str, doctype: str = "") -> None:
     from ..functions.times import format_clock
 
     s = t["stop_facilities"]
@@ -115,7 +116,7 @@ def schedule(t: dict[str, DataFrame], path: str) -> None:
     r = t["routes"].join(calls, key, "left").join(links, key, "left").join(deps, key, "left")
     text = element("transitRoute", {"id": F.col("route_id")}, wrapped("description", escape(of(r, "description"))), wrapped("transportMode", escape(F.col("mode"))), wrapped("routeProfile", F.col("_s")), wrapped("route", F.col("_l")), wrapped("departures", F.col("_d")))
     n = t["lines"].join(_parent(r, ["line_id"], ["route_id"], text, "_r"), "line_id", "left")
-    write_file(path, "transitSchedule", ["<transitStops>", stops, "</transitStops>", lines(n, ["line_id"], element("transitLine", {"id": F.col("line_id"), "name": F.col("name")}, F.col("_r")))], doctype='<!DOCTYPE transitSchedule SYSTEM "http://www.matsim.org/files/dtd/transitSchedule_v2.dtd">')
+    write_file(path, "transitSchedule", ["<transitStops>", stops, "</transitStops>", lines(n, ["line_id"], element("transitLine", {"id": F.col("line_id"), "name": F.col("name")}, F.col("_r")))], doctype=doctype)
 
 
 def facilities(t: dict[str, DataFrame], path: str) -> None:
@@ -130,14 +131,14 @@ def households(t: dict[str, DataFrame], path: str) -> None:
     write_file(path, "households", [lines(h, ["household_id"], element("household", {"id": F.col("household_id"), "income": F.col("income")}, wrapped("members", F.col("_m")), bag(of(h, "attrs"))))])
 
 
-def vehicles(t: dict[str, DataFrame], path: str) -> None:
+def vehicles(t: dict[str, DataFrame], path: str, namespace: str = "") -> None:
     v = t["vehicle_types"]
     one = lambda name, attribute, c: F.when(F.col(c).isNotNull(), element(name, {attribute: F.col(c)})) if c in v.columns else F.lit(None).cast("string")
     text = element("vehicleType", {"id": F.col("type_id")}, bag(of(v, "attrs")), element("capacity", {"seats": F.col("seats"), "standingRoomInPersons": F.col("standing")}), one("length", "meter", "length"), one("width", "meter", "width"), one("accessTime", "secondsPerPerson", "access_time"), one("egressTime", "secondsPerPerson", "egress_time"))
-    write_file(path, "vehicleDefinitions", [lines(v, ["type_id"], text), lines(t["vehicles"], ["vehicle_id"], element("vehicle", {"id": F.col("vehicle_id"), "type": F.col("type_id")}))], attributes=' xmlns="http://www.matsim.org/files/dtd"')
+    write_file(path, "vehicleDefinitions", [lines(v, ["type_id"], text), lines(t["vehicles"], ["vehicle_id"], element("vehicle", {"id": F.col("vehicle_id"), "type": F.col("type_id")}))], attributes=namespace)
 
 
-def lanes(rows: DataFrame, path: str) -> None:
+def lanes(rows: DataFrame, path: str, namespace: str = "") -> None:
     """link_id, lane_id, to_links, capacity, ...; a lane that leads nowhere raises."""
     order = "lane_index" if "lane_index" in rows.columns else "lane_id"
     to = each(F.col("to_links"), lambda k: element("toLink", {"refId": k}))
@@ -145,7 +146,7 @@ def lanes(rows: DataFrame, path: str) -> None:
     leads = F.when(F.concat(to, other) == "", F.raise_error(F.concat(F.lit("lane leads nowhere: "), "lane_id")).cast("string")).otherwise(F.when(to != "", to).otherwise(other))
     text = element("lane", {"id": F.col("lane_id")}, wrapped("leadsTo", leads), element("capacity", {"vehiclesPerHour": F.col("capacity")}), wrapped("alignment", F.coalesce(of(rows, "alignment"), F.lit("0"))), bag(of(rows, "attrs")))
     a = _parent(rows, ["link_id"], [order], text, "_l")
-    write_file(path, "laneDefinitions", [lines(a, ["link_id"], element("lanesToLinkAssignment", {"linkIdRef": F.col("link_id")}, F.col("_l")))], attributes=' xmlns="http://www.matsim.org/files/dtd"')
+    write_file(path, "laneDefinitions", [lines(a, ["link_id"], element("lanesToLinkAssignment", {"linkIdRef": F.col("link_id")}, F.col("_l")))], attributes=namespace)
 
 
 def config(rows: DataFrame, path: str) -> None:
