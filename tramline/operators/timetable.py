@@ -27,7 +27,7 @@ def stop_offsets(stop_times: DataFrame) -> DataFrame:
     """trip_id, pos, stop_id, base, arrival_offset, departure_offset, await, valid.
 
     base is the first departure (0 if unknown). Times at timepoints hold; a timepoint without an arrival
-    takes the arrival before it. Runs without timepoint are spread evenly between their neighbours; a
+    takes the arrival before it (0 right after a run without timepoint). Runs without timepoint are spread evenly between their neighbours; a
     leading run starts at base, a trailing one ends 60 seconds after its last anchor. Offsets are at
     least 0. A trip with a departure before its arrival is not valid: its offsets are the raw times,
     null as base.
@@ -42,10 +42,9 @@ def stop_offsets(stop_times: DataFrame) -> DataFrame:
     s = s.withColumn("stretch", F.count_if(~F.col("timed")).over(upto))
     s = s.withColumn("known", F.when(F.col("timed"), F.col("arrival").cast("double")))
     s = s.withColumn("carried", F.last("known", ignorenulls=True).over(W.partitionBy("trip_id", "stretch").orderBy("pos")))
-    s = s.withColumn("open", F.col("timed") & F.col("carried").isNull() & (F.col("stretch") > 0))
-    # an open timepoint follows a run that ends in it: both take the anchor before the run
-    s = s.withColumn("arr", F.when(F.col("timed") & ~F.col("open"), F.coalesce("carried", F.col("base"))))
-    s = s.withColumn("arr", F.when(F.col("open"), F.coalesce(F.lit(0.0))).otherwise(F.col("arr")))
+    # right after a run of other stops, whose times aren't known yet, it counts as 0
+    after_run = F.col("carried").isNull() & (F.col("stretch") > 0)
+    s = s.withColumn("arr", F.when(F.col("timed"), F.when(after_run, 0.0).otherwise(F.coalesce("carried", F.col("base")))))
     s = s.withColumn("dep", F.when(F.col("timed"), F.coalesce(F.col("departure").cast("double"), F.col("arr"))))
     last = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.col("base"))
     s = s.withColumn("prev_arr", last("arr")).withColumn("prev_dep", last("dep"))
