@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from . import queries_dedup as dedup
 from . import queries_other as other
 from . import queries_text as text
@@ -23,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
