@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, release, shuffle_partitions, stage
 
-CHUNK_BYTES, CHUNK_DOCS, POINTER, TASKS = 12 << 20, 30_000, -1, 4
+CHUNK_BYTES, CHUNK_DOCS, POINTER, TASKS = 12 << 20, 30_000, -1, 2
 PACKED = "chunk string, bucket int, keys binary, vals binary"
 _FIELDS = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 

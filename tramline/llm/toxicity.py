@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, release
 
-SAMPLE, FEATURES, SEED_FOLD = 6000, 1500, 2
+SAMPLE, FEATURES, SEED_FOLD, LEAST = 6000, 1500, 2, 4
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -93,12 +93,19 @@ def train(rows: list[tuple[str, int]], n_features: int = FEATURES, steps: int =
     positive = sum(y for _, y in rows)
     if not positive or positive == len(rows):
         return Model(20.0 if positive else -20.0, {})
+    found = lambda text: {f for w in set(WORD.findall(text.lower())) for f in features(w)}
     pos, neg = Counter(), Counter()
     for text, y in rows:
-        (pos if y else neg).update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+        if y:
+            pos.update(found(text))
+    # only these can be chosen, so only these are counted among the negatives
+    pos = Counter({f: c for f, c in pos.items() if c >= LEAST})
+    for text, y in rows:
+        if not y:
+            neg.update(found(text) & pos.keys())
     n_pos, n_neg = positive, len(rows) - positive
-    # a feature of at least 4 positives, most often seen in them
-    odds = {f: np.log((c + 0.5) / (n_pos + 1)) - np.log((neg[f] + 0.5) / (n_neg + 1)) for f, c in pos.items() if c >= 4 and c >= neg[f]}
+    # a feature of at least LEAST positives, most often seen in them
+    odds = {f: np.log((c + 0.5) / (n_pos + 1)) - np.log((neg[f] + 0.5) / (n_neg + 1)) for f, c in pos.items() if c >= neg[f]}
     names = sorted(odds, key=lambda f: (-odds[f] * np.sqrt(pos[f]), f))[:n_features]
     index = {f: i for i, f in enumerate(names)}
     sent_doc, cols, sent_of, y = [], [], [], np.array([y for _, y in rows], float)
@@ -127,7 +134,10 @@ def train(rows: list[tuple[str, int]], n_features: int = FEATURES, steps: int =
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w -= 0.1 * (mw / c1) / (np.sqrt(vw / c2) + 1e-8)
         b -= 0.1 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return Model(float(b), {f: round(float(x), 6) for f, x in zip(names, w, strict=True) if abs(x) > 0.05})
+    model = Model(float(b), {f: round(float(x), 6) for f, x in zip(names, w, strict=True) if abs(x) > 0.05})
+    del sent_doc, cols, sent_of
+    release()
+    return model
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int]]:
