@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, release, shuffle_partitions, stage
 
-CHUNK_BYTES, CHUNK_DOCS, POINTER, TASKS = 12 << 20, 30_000, -1, 2
+CHUNK_BYTES, CHUNK_DOCS, POINTER = 12 << 20, 30_000, -1
 PACKED = "chunk string, bucket int, keys binary, vals binary"
 _FIELDS = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 
@@ -171,5 +171,5 @@ def visit(points: DataFrame, asides: DataFrame, fn: Callable, schema: str) -> Da
         return out
 
     # pointer rows are small and their work isn't: a stated number keeps adaptive execution from joining them into few tasks
-    n = TASKS * shuffle_partitions(points.sparkSession)
+    n = shuffle_partitions(points.sparkSession)
     return points.repartition(n, "chunk").groupBy("chunk").cogroup(asides.repartition(n, "chunk").groupBy("chunk")).applyInPandas(run, schema)
