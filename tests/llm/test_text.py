@@ -112,6 +112,23 @@ def test_quality_statistics(spark):
     assert all(kept[i] for i in range(80)) and not kept[104] and not kept[101]
 
 
+def test_long_words_are_counted(spark, monkeypatch):
+    # words of one length over 6 bytes, in scripts of two and three bytes a letter and in Latin script
+    rows = [(i, f"общество развитие {i}x государство общество", "ru") for i in range(60)] + [(100 + i, f"日本語 世界中 {i}y 日本語", "ja") for i in range(60)] + [(200 + i, f"although {i}z therefore although", "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {}
+    for lang in ("ru", "ja", "en"):
+        n = Counter(w.encode() for _, t, k in rows if k == lang for w in t.split())
+        want[lang] = sorted(n.items(), key=lambda kv: (-kv[1], kv[0]))[:40]
+    for flush in (200_000, 7):
+        monkeypatch.setattr(quality, "FLUSH", flush, raising=False)
+        found = quality.language_references(df)
+        for lang, top in want.items():
+            _, common, counts = found[("lang", lang)]
+            assert [(w, int(counts[i])) for w, i in sorted(common.items(), key=lambda kv: kv[1])] == top
+            assert counts.sum() == sum(len(t.split()) for _, t, k in rows if k == lang)
+
+
 def test_js_distance():
     import numpy as np
 

@@ -6,8 +6,8 @@ documents of that language; the divergence is the Jensen-Shannon distance (squar
 divergence in bits, 0 to 1). A histogram of little text says nothing: below `min_chars` characters or
 `min_words` words the distance isn't judged.
 
-Common words are the TOP_WORDS most frequent words of at most SHORT bytes; only those are counted, so a
-task holds and sends a bounded list. Languages with fewer than MIN_REFERENCE documents share one
+Common words are the TOP_WORDS most frequent of all words; at equal counts, the lesser in byte order. A task
+holds at most about FLUSH counts and sends them on as partial rows; Spark sums those. Languages with fewer than MIN_REFERENCE documents share one
 reference. Null text: no words. Null language: a language of its own.
 """
 
@@ -25,7 +25,8 @@ from .common import split_words, window_hashes
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "other")
-TOP_WORDS, SHORT, MIN_REFERENCE, MAX_LANGUAGES = 40, 6, 50, 256
+TOP_WORDS, MIN_REFERENCE, MAX_LANGUAGES = 40, 50, 256
+FLUSH, FLUSH_CHARS = 200_000, 1 << 26
 WINDOW = 8
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
 
@@ -99,23 +100,39 @@ def language_references(docs: DataFrame) -> dict:
 
     def tally(batches):
         chars, words, docs_in, total = {}, {}, Counter(), Counter()
+        held = read = 0
+
+        def flush():
+            rows = [(lang, "d", b"", n) for lang, n in docs_in.items()] + [(lang, "t", b"", n) for lang, n in total.items()]
+            rows += [(lang, "c", b"%d" % i, int(n)) for lang, c in chars.items() for i, n in enumerate(c)]
+            rows += [(lang, "w", w, n) for lang, c in words.items() for w, n in c.items()]
+            for x in (chars, words, docs_in, total):
+                x.clear()
+            for at in range(0, len(rows), 50_000):
+                part = list(zip(*rows[at : at + 50_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.int64())], ["lang", "kind", "item", "n"])
+
         for batch in batches:
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = split_words(text)
                 docs_in[lang] += 1
                 total[lang] += len(found)
                 chars[lang] = chars.get(lang, 0) + char_classes(text)
-                words.setdefault(lang, Counter()).update([w for w in found if len(w) <= SHORT])
-        rows = [(lang, "d", "", n) for lang, n in docs_in.items()] + [(lang, "t", "", n) for lang, n in total.items()]
-        rows += [(lang, "c", str(i), int(n)) for lang, c in chars.items() for i, n in enumerate(c)]
-        rows += [(lang, "w", w.decode("utf-8", "surrogatepass"), n) for lang, c in words.items() for w, n in c.items()]
-        for at in range(0, len(rows), 50_000):
-            part = list(zip(*rows[at : at + 50_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.array(part[2], pa.string()), pa.array(part[3], pa.int64())], ["lang", "kind", "item", "n"])
+                if lang not in words:
+                    words[lang] = Counter()
+                    held += len(CLASSES) + 2
+                held -= len(words[lang])
+                words[lang].update(found)
+                held += len(words[lang])
+                read += len(text)
+                if held > FLUSH or read > FLUSH_CHARS:
+                    yield from flush()
+                    held = read = 0
+        yield from flush()
 
     from pyspark.sql import Window as W
 
-    counts = _rows(docs).mapInArrow(tally, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counts = _rows(docs).mapInArrow(tally, "lang string, kind string, item binary, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
     rows = counts.withColumn("rank", rank).filter(F.col("rank") <= TOP_WORDS).drop("rank").collect()
     by: dict = {}
@@ -126,7 +143,7 @@ def language_references(docs: DataFrame) -> dict:
         elif kind == "c":
             by[lang]["c"][int(item)] = n
         else:
-            by[lang]["w"][item.encode("utf-8", "surrogatepass")] = n
+            by[lang]["w"][bytes(item)] = n
     pooled = {"d": 0, "t": 0, "c": np.zeros(len(CLASSES)), "w": Counter()}
     for x in by.values():
         for k in ("d", "t", "c"):
