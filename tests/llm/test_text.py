@@ -122,13 +122,39 @@ def test_long_words_are_counted(spark, monkeypatch):
         want[lang] = sorted(n.items(), key=lambda kv: (-kv[1], kv[0]))[:40]
     for flush in (200_000, 7):
         monkeypatch.setattr(quality, "FLUSH", flush, raising=False)
-        found = quality.language_references(df)
+        found = {r[0]: quality.parse_reference(r[1]) for r in quality.language_references(df).collect()}
         for lang, top in want.items():
-            _, common, counts = found[("lang", lang)]
+            _, common, counts = found[lang]
             assert [(w, int(counts[i])) for w, i in sorted(common.items(), key=lambda kv: kv[1])] == top
             assert counts.sum() == sum(len(t.split()) for _, t, k in rows if k == lang)
 
 
+def test_rare_languages_have_their_own_reference(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    text = lambda stem, n: " ".join(f"{stem}{rng.choice('abcdefgh')}" for _ in range(n))
+    rows = [(i, text("the", 60), "en") for i in range(200)] + [(300 + i, text("mot", 60), "br") for i in range(4)] + [(400, text("nul", 60), None)]
+    rows += [(1000 + i, text(f"w{i}", 60), f"x{i}") for i in range(300)]
+    verdicts = lambda rows: {r["doc_id"]: (r["kept"], round(r["word_distance"], 9)) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_char_distance=1.0).select("doc_id", "kept", "word_distance").collect()}
+    once = verdicts(rows)
+    assert len(once) == len(rows) and all(kept for kept, _ in once.values())
+    assert all(once[i][1] == 0 for i in (400, *range(1000, 1300)))
+    counts = Counter(w for _, t, k in rows if k == "br" for w in t.split())
+    for i, t, k in rows[200:204]:
+        own = Counter(t.split())
+        assert once[i][1] == round(quality.js_distance(np.array([own[w] for w in counts], float), np.array(list(counts.values()), float)), 9)
+    # the same documents are judged alike in a larger table, and by a join that isn't broadcast
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert verdicts(rows + [r for r in rows if r[2] == "br"] * 20) == once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_js_distance():
     import numpy as np
 

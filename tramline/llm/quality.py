@@ -7,8 +7,10 @@ divergence in bits, 0 to 1). A histogram of little text says nothing: below `min
 `min_words` words the distance isn't judged.
 
 Common words are the TOP_WORDS most frequent of all words; at equal counts, the lesser in byte order. A task
-holds at most about FLUSH counts and sends them on as partial rows; Spark sums those. Languages with fewer than MIN_REFERENCE documents share one
-reference. Null text: no words. Null language: a language of its own.
+holds at most about FLUSH counts and sends them on as partial rows; Spark sums those. Every language has its
+own reference, however few or many its documents: one alone in its language is at distance 0. References are
+a table that joins the documents; none comes to the driver. A language without one isn't judged by distance.
+Null text: no words. Null language: a language of its own.
 """
 
 from __future__ import annotations
@@ -20,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words, window_hashes
+from .common import split_words, stage, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "other")
-TOP_WORDS, MIN_REFERENCE, MAX_LANGUAGES = 40, 50, 256
-FLUSH, FLUSH_CHARS = 200_000, 1 << 26
+TOP_WORDS, FLUSH, FLUSH_CHARS, MEMO = 40, 200_000, 1 << 26, 1000
 WINDOW = 8
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
 
@@ -92,21 +93,18 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
 
 
-def language_references(docs: DataFrame) -> dict:
-    """("lang", lang) or ("pooled",) -> (character-class counts, common words -> bin, their counts).
-
-    All documents count. What comes to the driver is at most MAX_LANGUAGES x (7 + TOP_WORDS) numbers.
-    """
+def language_references(docs: DataFrame) -> DataFrame:
+    """reference_lang, reference of each language; see parse_reference. All words of all documents count."""
 
     def tally(batches):
-        chars, words, docs_in, total = {}, {}, Counter(), Counter()
+        chars, words, total = {}, {}, Counter()
         held = read = 0
 
         def flush():
-            rows = [(lang, "d", b"", n) for lang, n in docs_in.items()] + [(lang, "t", b"", n) for lang, n in total.items()]
+            rows = [(lang, "t", b"", n) for lang, n in total.items()]
             rows += [(lang, "c", b"%d" % i, int(n)) for lang, c in chars.items() for i, n in enumerate(c)]
             rows += [(lang, "w", w, n) for lang, c in words.items() for w, n in c.items()]
-            for x in (chars, words, docs_in, total):
+            for x in (chars, words, total):
                 x.clear()
             for at in range(0, len(rows), 50_000):
                 part = list(zip(*rows[at : at + 50_000], strict=True))
@@ -115,12 +113,11 @@ def language_references(docs: DataFrame) -> dict:
         for batch in batches:
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = split_words(text)
-                docs_in[lang] += 1
                 total[lang] += len(found)
                 chars[lang] = chars.get(lang, 0) + char_classes(text)
                 if lang not in words:
                     words[lang] = Counter()
-                    held += len(CLASSES) + 2
+                    held += len(CLASSES) + 1
                 held -= len(words[lang])
                 words[lang].update(found)
                 held += len(words[lang])
@@ -134,45 +131,50 @@ def language_references(docs: DataFrame) -> dict:
 
     counts = _rows(docs).mapInArrow(tally, "lang string, kind string, item binary, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    rows = counts.withColumn("rank", rank).filter(F.col("rank") <= TOP_WORDS).drop("rank").collect()
-    by: dict = {}
-    for lang, kind, item, n in rows:
-        by.setdefault(lang, {"d": 0, "t": 0, "c": np.zeros(len(CLASSES)), "w": Counter()})
-        if kind in "dt":
-            by[lang][kind] = n
-        elif kind == "c":
-            by[lang]["c"][int(item)] = n
-        else:
-            by[lang]["w"][bytes(item)] = n
-    pooled = {"d": 0, "t": 0, "c": np.zeros(len(CLASSES)), "w": Counter()}
-    for x in by.values():
-        for k in ("d", "t", "c"):
-            pooled[k] = pooled[k] + x[k]
-        pooled["w"].update(x["w"])
+    line = F.concat("kind", F.col("item").cast("string"), F.lit(" "), F.col("n").cast("string"))
+    top = counts.withColumn("rank", rank).filter(F.col("rank") <= TOP_WORDS).select(F.col("lang").alias("reference_lang"), F.struct("kind", "rank", line.alias("line")).alias("x"))
+    lines = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"])
+    # its size is known before the join is planned
+    return stage(top.groupBy("reference_lang").agg(F.array_join(lines, "\n").alias("reference")), "references")
 
-    def reference(x):
-        top = sorted(x["w"].items(), key=lambda kv: (-kv[1], kv[0]))[:TOP_WORDS]
-        rest = x["t"] - sum(n for _, n in top)
-        return x["c"], {w: i for i, (w, _) in enumerate(top)}, np.array([n for _, n in top] + [max(0, rest)], float)
 
-    large = sorted((k for k, x in by.items() if x["d"] >= MIN_REFERENCE), key=lambda k: (-by[k]["d"], str(k)))[:MAX_LANGUAGES]
-    return {("lang", k): reference(by[k]) for k in large} | {("pooled",): reference(pooled)}
+def parse_reference(packed: str | None) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
+    """(character-class counts, common words -> bin, their counts and that of all others); all 0 without a reference.
+
+    A line is c, t or w for a class, the number of words or a common word, then its name, a space and a count.
+    """
+    chars, common, freq, total = np.zeros(len(CLASSES)), {}, [], 0
+    for line in packed.split("\n") if packed else ():
+        item, n = line[1:].rsplit(" ", 1)
+        if line[0] == "c":
+            chars[int(item)] = int(n)
+        elif line[0] == "t":
+            total = int(n)
+        else:
+            common[item.encode("utf-8", "surrogatepass")] = len(common)
+            freq.append(int(n))
+    return chars, common, np.array([*freq, total - sum(freq)], float)
 
 
-def judge(docs: DataFrame, references: dict | None = None, max_char_distance: float = 0.25, max_word_distance: float = 0.4, min_chars: int = 200, min_words: int = 40) -> DataFrame:
+def judge(docs: DataFrame, references: DataFrame | None = None, max_char_distance: float = 0.25, max_word_distance: float = 0.4, min_chars: int = 200, min_words: int = 40) -> DataFrame:
     """Statistics, distances and verdict of each row."""
     references = language_references(docs) if references is None else references
 
     def run(batches):
+        memo: dict = {}
         for batch in batches:
             out = []
-            for doc_id, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, text, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = split_words(text)
                 n = len(words)
-                chars, common, freq = references.get(("lang", lang)) or references[("pooled",)]
+                if packed not in memo:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[packed] = parse_reference(packed)
+                chars, common, freq = memo[packed]
                 repeat = repeated_words(words)
-                dc = js_distance(char_classes(text), chars) if len(text) >= min_chars else None
-                dw = js_distance(word_bins(words, common), freq) if n >= min_words else None
+                dc = js_distance(char_classes(text), chars) if packed and len(text) >= min_chars else None
+                dw = js_distance(word_bins(words, common), freq) if packed and n >= min_words else None
                 failed = n < 20 or 100 * repeat > 30 * n
                 kept = not failed and not (dc is not None and dc > max_char_distance) and not (dw is not None and dw > max_word_distance)
                 out.append((doc_id, n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeat, dc, dw, failed, kept))
@@ -180,4 +182,5 @@ def judge(docs: DataFrame, references: dict | None = None, max_char_distance: fl
             kinds = [pa.int64()] * 6 + [pa.float64()] * 2 + [pa.bool_()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return _rows(docs).mapInArrow(run, SCHEMA)
+    joined = _rows(docs).join(references, F.col("lang").eqNullSafe(F.col("reference_lang")), "left")
+    return joined.select("doc_id", "text", "reference").mapInArrow(run, SCHEMA)
