@@ -120,6 +120,15 @@ def test_toxicity_learns_from_document_labels(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_toxicity_of_text_that_grows_in_lower_case():
+    model = toxicity.Model(-5.0, {"snarkwit": 9.0, "stanbul": 0.5})
+    logits = lambda text: model.sentence_logits(text, model.word_weights())
+    text = "İİzmir is fine. SNARKWIT in İSTANBUL! İ Snarkwit"
+    assert [text[a:b].strip() for a, b, _ in logits(text)] == ["SNARKWIT in İSTANBUL", "İ Snarkwit"]
+    assert [z for _, _, z in logits(text)] == [4.5, 4.0] == [z for _, _, z in logits(text.lower())]
+    assert model.score(text, model.word_weights()) == model.score(text.lower(), model.word_weights()) > 0.9
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(300, 8)).astype(np.float32)

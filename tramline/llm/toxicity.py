@@ -14,6 +14,7 @@ An empty or null text scores like one sentence without features.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -59,13 +60,13 @@ class Model:
         """(start, end, logit) of the sentences that hold a weighted word; all others have the bias."""
         out, start = [], 0
         low = text.lower()
-        if len(low) != len(text):
-            low = text
+        # U+0130 grows when lower-cased: offsets after it go back by as much
+        grown = [] if len(low) == len(text) else [i + k for k, i in enumerate(i for i, c in enumerate(text) for _ in range(len(c.lower()) - 1))]
         for cut in [*SENTENCE.finditer(low), None]:
             end = cut.start() if cut else len(low)
             total = sum(map(memo.__getitem__, WORD.findall(low, start, end)))
             if total:
-                out.append((start, end, self.bias + total))
+                out.append((start - bisect_left(grown, start), end - bisect_left(grown, end), self.bias + total))
             start = cut.end() if cut else end
         return out
 
