@@ -4,16 +4,18 @@ A first pass cuts the texts into pre-tokens and packs each bounded chunk of docu
 chunk's distinct words as arrays of byte ids, and each document as positions in that word list. The
 merges are then one SQL expression: `transform` over the distinct words of the chunk, `aggregate` over
 the byte array of a word, each step merging the leftmost pair of the smallest rank. The ranks are a
-literal: MapType looks keys up one by one, so the map is laid out as two literal arrays, a perfect hash
-of two array reads per pair. Documents take their ids by position, so no word is shuffled and a frequent
-word costs one merge a chunk.
+literal: MapType looks keys up one by one, so the map is laid out as two literal arrays, a row per left
+id displaced into one table, and a pair is two array reads. Documents take their ids by position, so no
+word is shuffled and a frequent word costs one merge a chunk. A chunk ends at CHUNK_BYTES of text or
+CHUNK_WORDS distinct words, so what a task holds doesn't depend on its share of the input.
 
 Decoding is `array_join` of the tokens' bytes in hexadecimal, turned to binary at the end.
 
 Words of more than LONG_WORD bytes (rare runs without a boundary) enter the fold already merged by the
 same rule with a heap, since the fold is quadratic in a word's length; the fold finds nothing left.
 
-Null text: no ids, empty bytes.
+Null text: no ids, empty bytes. Repeated rows and null ids are rows like others; other columns are not
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import math
 from functools import lru_cache
 
 import numpy as np
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import documents, release
 from .pretokens import splitter
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES, CHUNK_WORDS, CHUNK_DOCS = 8 << 20, 200_000, 20_000
 LONG_WORD = 96
-MIX, NO_ID, NO_PAIR = 65537, 65535, 1 << 24  # NO_ID: an id no token has
+NO_ID, NO_PAIR = 65535, 1 << 24  # NO_ID: an id no token has
 
 
 @lru_cache(2)
@@ -45,43 +46,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(2)
 def pair_table(path: str) -> tuple[list[int], list[int]]:
-    """The rank map as a perfect hash: displacement by key % groups, then the cell at key + displacement.
-
-    key = left id * MIX + right id (no two pairs share one); a cell holds key << 16 | rank.
-    """
-    import random
-
+    """The rank map by row displacement: the pair (a, b) is at shift[a] + b, as a << 16 | rank."""
     ranks = read_ranks(path)
-    pairs = {}
+    rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                pairs[a * MIX + b] = rank
-    groups, size = len(pairs) // 4 | 1, 1 << (len(pairs).bit_length() + 1)  # no common factor
-    buckets: list[list[int]] = [[] for _ in range(groups)]
-    for key in pairs:
-        buckets[key % groups].append(key)
-    displace, cells, rng = [0] * groups, [NO_ID << 33] * size, random.Random(0)
-    free = bytearray(b"\1") * size
-    for g in sorted(range(groups), key=lambda g: -len(buckets[g])):
-        keys = buckets[g]
-        if keys:
-            while True:
-                d = rng.randrange(size)
-                at = [k + d & size - 1 for k in keys]
-                if all(free[c] for c in at) and len(set(at)) == len(at):
-                    break
-            displace[g] = d
-            for c, k in zip(at, keys, strict=True):
-                free[c], cells[c] = 0, k << 16 | pairs[k]
-    return displace, cells
-
-
-def find_rank(displace: list[int], cells: list[int], a: int, b: int) -> int:
-    key = a * MIX + b
-    c = cells[key + displace[key % len(displace)] & len(cells) - 1]
-    return c & 0xFFFF if c >> 16 == key else -1
+                rows.setdefault(a, []).append((b, rank))
+    size = 1 << (sum(map(len, rows.values())).bit_length() + 2)
+    shift, cells = [0] * (max(ranks.values()) + 1), np.full(size + NO_ID + 1, NO_ID << 16, np.int64)
+    free, rng = np.ones(len(cells), bool), np.random.default_rng(0)
+    for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+        right, rank = np.array(rows[a], np.int64).T
+        at = right + rng.integers(size)
+        while not free[at].all():
+            at = right + rng.integers(size)
+        shift[a] = int(at[0] - right[0])
+        free[at] = False
+        cells[at] = a << 16 | rank
+    return shift, cells.tolist()
 
 
 def literal_array(values: list, kind: str) -> Column:
@@ -94,20 +78,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(word: Column, tables: Column, sizes: tuple[int, int]) -> Column:
+def fold_merges(word: Column, tables: Column) -> Column:
     """Token ids of a word given as byte ids: ranked merges, smallest rank first, leftmost first.
 
     best is the least rank << 8 | position of a pair; a pair without a rank has more than 16 bits of rank,
-    those in which its key and its cell differ.
+    those in which its left id and its cell's differ.
     """
-    displace, cells = tables["displace"], tables["cells"]
-    groups, size = sizes
-    rank = lambda k: F.get(cells, (k + F.get(displace, k % groups)).bitwiseAND(size - 1)).bitwiseXOR(F.shiftleft(k, 16))
 
     def best(ids: Column) -> Column:
         # the last id has no right neighbour: null, which array_min passes over
-        keys = F.transform(ids, lambda x, i: x * MIX + F.get(ids, i + 1))
-        return F.array_min(F.transform(keys, lambda k, i: F.shiftleft(rank(k), 8) + i))
+        rank = lambda x, y: F.get(tables["cells"], F.get(tables["shift"], x) + y).bitwiseXOR(F.shiftleft(x, 16))
+        return F.array_min(F.transform(ids, lambda x, i: F.shiftleft(rank(x, F.get(ids, i + 1)), 8).bitwiseOR(i.cast("long"))))
 
     def step(state: Column, _: Column) -> Column:
         ids, m = state["ids"], state["m"]
@@ -118,15 +99,15 @@ def fold_merges(word: Column, tables: Column, sizes: tuple[int, int]) -> Column:
     return F.aggregate(word, F.struct(word.alias("ids"), best(word).alias("m")), step, lambda s: s["ids"])
 
 
-def merge_long(ids: list[int], displace: list[int], cells: list[int]) -> list[int]:
-    """The same merges for a long word in n log n: a heap of (rank, position) over a linked list."""
-    n = len(ids)
-    nxt, prv, ids = [*range(1, n), -1], [*range(-1, n - 1)], list(ids)
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for a long word in n log n: a heap of (rank, start) over a linked list of pieces."""
+    n = len(word)
+    nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))  # a piece is word[i : nxt[i]]
 
-    def rank(i: int) -> int:
-        return find_rank(displace, cells, ids[i], ids[nxt[i]]) if nxt[i] >= 0 else -1
+    def rank(i: int) -> int | None:
+        return ranks.get(word[i : nxt[nxt[i]]]) if nxt[i] < n else None
 
-    heap = [(r, i) for i in range(n) if (r := rank(i)) >= 0]
+    heap = [(r, i) for i in range(n) if (r := rank(i)) is not None]
     heapq.heapify(heap)
     alive = bytearray(b"\1") * n
     while heap:
@@ -134,13 +115,13 @@ def merge_long(ids: list[int], displace: list[int], cells: list[int]) -> list[in
         if not alive[i] or rank(i) != r:
             continue
         j = nxt[i]
-        alive[j], ids[i], nxt[i] = 0, r, nxt[j]
-        if nxt[i] >= 0:
+        alive[j], nxt[i] = 0, nxt[j]
+        if nxt[i] < n:
             prv[nxt[i]] = i
         for k in (i, prv[i]):
-            if k >= 0 and (r := rank(k)) >= 0:
+            if k >= 0 and (r := rank(k)) is not None:
                 heapq.heappush(heap, (r, k))
-    return [x for x, a in zip(ids, alive, strict=True) if a]
+    return [ranks[word[i : nxt[i]]] for i in range(n) if alive[i]]
 
 
 def _lists(values: np.ndarray, lengths, kind) -> pa.Array:
@@ -152,21 +133,23 @@ def _lists(values: np.ndarray, lengths, kind) -> pa.Array:
 def pack_chunks(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows (docs: array<struct<doc_id, words: array<int>>>, words: array<array<long>>) of bounded chunks."""
 
-    def flush(ids, lengths, index, words, byte_ids, tables):
+    def flush(ids, index, words, byte_ids, ranks):
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         width = np.fromiter(map(len, raw), np.int64, len(raw))
-        flat = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        values = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         if width.max(initial=0) > LONG_WORD:
-            parts = np.split(flat, np.cumsum(width)[:-1])
-            parts = [np.array(merge_long(p.tolist(), *tables), np.int64) if len(p) > LONG_WORD else p for p in parts]
-            flat, width = np.concatenate(parts), np.array([len(p) for p in parts])
-        inner = _lists(flat, width, pa.int64())
+            ends, parts, done = np.cumsum(width), [], 0
+            for i in np.flatnonzero(width > LONG_WORD):
+                merged = np.array(merge_long(raw[i], ranks), np.int64)
+                parts += [values[done : ends[i] - width[i]], merged]
+                done, width[i] = ends[i], len(merged)
+            values = np.concatenate([*parts, values[done:]])
+        lengths = [len(x) for x in index]
         own = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), _lists(np.concatenate(index), lengths, pa.int32())], ["doc_id", "words"])
-        return pa.RecordBatch.from_arrays([_lists(own, [len(ids)], None), _lists(inner, [len(width)], None)], ["docs", "words"])
+        return pa.RecordBatch.from_arrays([_lists(own, [len(ids)], None), _lists(_lists(values, width, pa.int64()), [len(width)], None)], ["docs", "words"])
 
     def run(batches):
-        find = splitter()
-        ranks, tables = read_ranks(path), pair_table(path)
+        find, ranks = splitter(), read_ranks(path)
         byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
         class Words(dict):
@@ -174,22 +157,21 @@ def pack_chunks(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> D
                 self[w] = n = len(self)
                 return n
 
-        ids, lengths, index, words, held = [], [], [], Words(), 0
+        ids, index, words, held = [], [], Words(), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
                 found = find(text)
                 ids.append(doc_id.as_py())
-                lengths.append(len(found))
                 index.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 held += len(text)
-                if held >= chunk_bytes or len(ids) >= 50_000:
-                    yield flush(ids, lengths, index, words, byte_ids, tables)
-                    ids, lengths, index, words, held = [], [], [], Words(), 0
+                if held >= chunk_bytes or len(words) >= CHUNK_WORDS or len(ids) >= CHUNK_DOCS:
+                    yield flush(ids, index, words, byte_ids, ranks)
+                    ids, index, words, held, found = [], [], Words(), 0, None
                     release()
         if ids:
-            yield flush(ids, lengths, index, words, byte_ids, tables)
-        ids = lengths = index = words = None
+            yield flush(ids, index, words, byte_ids, ranks)
+        ids = index = words = None
         release()
 
     return documents(docs).mapInArrow(run, "docs array<struct<doc_id:long,words:array<int>>>, words array<array<long>>")
@@ -197,9 +179,9 @@ def pack_chunks(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> D
 
 def _merged(path: str) -> Column:
     """The ids of the chunk's distinct words."""
-    displace, cells = pair_table(path)
-    tables = F.struct(literal_array(displace, "long").alias("displace"), literal_array(cells, "long").alias("cells"))
-    return let(tables, lambda t: F.transform("words", lambda w: fold_merges(w, t, (len(displace), len(cells)))))
+    shift, cells = pair_table(path)
+    tables = F.struct(literal_array(shift, "long").alias("shift"), literal_array(cells, "long").alias("cells"))
+    return let(tables, lambda t: F.transform("words", lambda w: fold_merges(w, t)))
 
 
 def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
