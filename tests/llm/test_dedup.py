@@ -59,11 +59,11 @@ def brute_components(rows):
     return Counter((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("region", [2000, 3])
-def test_jaccard_join(spark, region):
+@pytest.mark.parametrize("block,small", [(1 << 20, 1 << 29), (1 << 20, 0), (150, 0)])
+def test_jaccard_join(spark, block, small):
     rows = make_corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("chunk", F.lit(0)).repartition(5)
-    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(df, region, 4000).collect())
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(df, block, 4000, small).collect())
     assert got == brute_components(rows)
 
 
@@ -76,6 +76,29 @@ def test_keep_first_keeps_one_of_each(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [2, 7, 8, 9]
 
 
+def drifting(n, seed=1):
+    """Chains of texts that drift away from their start: links across regions, boundary sets, several rounds."""
+    rng = random.Random(seed)
+    rows = []
+    for c in range(n):
+        t = [f"c{c}w{rng.randrange(50)}" if rng.random() < 0.7 else f"w{rng.randrange(30)}" for _ in range(60)]
+        for _ in range(14):
+            t = list(t)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                t[rng.randrange(len(t))] = f"c{c}x{rng.randrange(9)}"
+            rows.append(" ".join(t))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("block,small", [(1 << 20, 1 << 29), (1 << 20, 0), (300, 0)])
+def test_jaccard_join_of_chains(spark, block, small):
+    rows = drifting(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_join(df, block, 1 << 20, small).collect())
+    assert got == brute_components(rows)
+
+
 def test_join_region_links_across_balls():
     rng = np.random.default_rng(0)
     for _ in range(20):

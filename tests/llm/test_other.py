@@ -105,8 +105,11 @@ def test_toxicity_learns_from_document_labels(spark):
     sample = toxicity.training_sample(df, lab)
     import zlib
 
+    sample = [(r["text"], r["toxic"]) for r in sample.collect()]
     assert len(sample) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in labels)
-    model = toxicity.train(sample)
+    model = toxicity.learn(df, lab)
+    local = toxicity.train(sample)
+    assert model.names == local.names and np.allclose([model.bias, *model.values], [local.bias, *local.values])
     score = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
     held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum((score[i] >= 0.3) == bool(y) for i, y in held) / len(held) > 0.97
@@ -114,19 +117,50 @@ def test_toxicity_learns_from_document_labels(spark):
     spans = toxicity.offending_sentences(df, model).filter("doc_id = 902").collect()
     assert len(spans) == 1 and docs[-1][1][spans[0]["start"] : spans[0]["end"]].strip() == "you snarkwit"
     assert toxicity.keep_clean(df, model).count() == sum(s < 0.3 for s in [score[d] for d, _ in docs])
-    assert toxicity.train([]).score("anything", toxicity.train([]).word_weights()) < 1e-6
+    assert toxicity.train([]).score("anything", toxicity.train([]).known()) < 1e-6
     always = toxicity.train([("a", 1), (None, 1)])
-    assert always.score("x", always.word_weights()) > 0.99
+    assert always.score("x", always.known()) > 0.99
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
 def test_toxicity_of_text_that_grows_in_lower_case():
     model = toxicity.Model(-5.0, {"snarkwit": 9.0, "stanbul": 0.5})
-    logits = lambda text: model.sentence_logits(text, model.word_weights())
+    logits = lambda text: model.sentence_logits(text, model.known())
     text = "İİzmir is fine. SNARKWIT in İSTANBUL! İ Snarkwit"
     assert [text[a:b].strip() for a, b, _ in logits(text)] == ["SNARKWIT in İSTANBUL", "İ Snarkwit"]
     assert [z for _, _, z in logits(text)] == [4.5, 4.0] == [z for _, _, z in logits(text.lower())]
-    assert model.score(text, model.word_weights()) == model.score(text.lower(), model.word_weights()) > 0.9
+    assert model.score(text, model.known()) == model.score(text.lower(), model.known()) > 0.9
+
+
+def brute_score(model, text):
+    """The leaky noisy-or, spelled out."""
+    import math
+    import re
+
+    weight, leak = dict(zip(model.names, model.values, strict=True)), 1 / (1 + math.exp(-model.bias))
+    miss = 1 - leak
+    for sentence in re.split(r"[.!?\n]+", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", sentence)
+        found = {f for w in words for f in (w, *(w[:n] + "*" for n in range(3, 7) if len(w) > n)) if f in weight}
+        if found:
+            miss *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weight[f] for f in found))))
+    return 1 - miss
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(9)
+    model = toxicity.Model(-3.0, {"snarkwit": 2.5, "sna*": 1.25, "snark*": 0.0, "idiot": 4.0, "plain": -2.0, "i̇z*": 1.0, "zero": 0.0})
+    pool = ["snarkwit", "SNARKWIT", "snare", "Idiot", "plain", "İzmir", "zero", "word", "a1b", "x_y", "é"]
+    texts = [None, "", "You IDIOT", "You IDIOT. İ", "idiot idiot idiot", "snare snark snarkwit", "zero. zero", "." * 50, "plain " * 20_000]
+    texts += ["".join(rng.choice(pool) + rng.choice([" ", ". ", "!", "\n", ", "]) for _ in range(rng.randrange(30))) for _ in range(150)]
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(None, "idiot"), (0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("my col", F.lit(1))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in toxicity.score(df, model).collect())
+    want = sorted((i is None, i or 0, brute_score(model, t)) for i, t in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-12)
+    kept = toxicity.keep_clean(df, model)
+    assert kept.columns == df.columns and kept.count() == sum(w[2] < 0.3 for w in want)
+    assert toxicity.learn(df, df.limit(0).selectExpr("doc_id", "0 as toxic")).score("x", toxicity.Known([])) < 1e-6
 
 
 def test_top_k_is_exact(spark):

@@ -22,10 +22,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import new_path, release, shuffle_partitions, stage
 
 CHUNK_BYTES, CHUNK_DOCS, POINTER = 12 << 20, 30_000, -1
+BUCKET_BYTES = 32 << 20  # of input, for each bucket of keys
 PACKED = "chunk string, bucket int, keys binary, vals binary"
 _FIELDS = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 
@@ -75,7 +78,10 @@ def unpack(raw_keys: bytes, raw_vals: bytes) -> tuple[np.ndarray, np.ndarray, by
 
 
 def bucket_count(df: DataFrame) -> int:
-    return max(8, shuffle_partitions(df.sparkSession))
+    """Buckets by the planner's size of the input, so that what a bucket holds doesn't grow with it."""
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = planned if planned < 1 << 50 else 0  # rows made in memory have no size
+    return max(8, shuffle_partitions(df.sparkSession), known // BUCKET_BYTES)
 
 
 def build(docs: DataFrame, summarize: Callable, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -154,13 +160,15 @@ def ask(rows: DataFrame, answer: Callable) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(run, "chunk string, bucket int, answer binary")
 
 
-def _names(spark, schema: str) -> list[str]:
-    return [f.name for f in spark.createDataFrame([], schema).schema.fields]
+def _dealt(points: DataFrame, asides: DataFrame):
+    # pointer rows are small and their work isn't: a stated number keeps adaptive execution from joining them into few tasks
+    n = shuffle_partitions(points.sparkSession)
+    return points.repartition(n, "chunk").groupBy("chunk").cogroup(asides.repartition(n, "chunk").groupBy("chunk"))
 
 
 def visit(points: DataFrame, asides: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """fn(chunk, path, summary, aside rows as pandas) -> pandas frame, per chunk. schema: DDL, as `name: type, ...` too."""
-    names = _names(points.sparkSession, schema)
+    """fn(chunk, path, summary, aside rows as pandas) -> pandas frame, per chunk. schema: "name type, ..."."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(p: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
@@ -170,6 +178,19 @@ def visit(points: DataFrame, asides: DataFrame, fn: Callable, schema: str) -> Da
         release()
         return out
 
-    # pointer rows are small and their work isn't: a stated number keeps adaptive execution from joining them into few tasks
-    n = shuffle_partitions(points.sparkSession)
-    return points.repartition(n, "chunk").groupBy("chunk").cogroup(asides.repartition(n, "chunk").groupBy("chunk")).applyInPandas(run, schema)
+    return _dealt(points, asides).applyInPandas(run, schema)
+
+
+def visit_rows(points: DataFrame, asides: DataFrame, fn: Callable, schema: StructType) -> DataFrame:
+    """fn(chunk, path, summary, aside rows as Arrow) -> Arrow table, per chunk: for rows of any columns and names."""
+    empty = to_arrow_schema(schema)
+
+    def run(p: pa.Table, a: pa.Table) -> pa.Table:
+        if not p.num_rows:
+            return empty.empty_table()
+        row = p.slice(0, 1).to_pylist()[0]
+        out = fn(row["chunk"], row["path"], row["summary"], a)
+        release()
+        return out
+
+    return _dealt(points, asides).applyInArrow(run, schema)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,42 +33,68 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_owners: list[list[str]] = []
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
 
 @contextlib.contextmanager
 def collecting():
     """The list of the paths that are made in this block, so that their owner can remove them."""
     paths: list[str] = []
-    _owners.append(paths)
+    token = _owner.set(paths)
     try:
         yield paths
     finally:
-        _owners.remove(paths)
+        _owner.reset(token)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one; what nobody removed goes when the driver ends."""
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    for paths in _owners:
+    fs, at = _hadoop(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    if (paths := _owner.get()) is not None:
         paths.append(path)
     return path
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
-    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, paths):
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in paths:
+        fs, at = _hadoop(spark, path)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back: lineage ends there, any executor may go."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(f"{path}/rows")
+    out = spark.read.schema(df.schema).parquet(f"{path}/rows")
     out._staged_path = path
     return out
 
 
+def result_only(step, spark: SparkSession, name: str) -> DataFrame:
+    """The staged result of step(); all else that it left in the shared folder is removed."""
+    with collecting() as paths:
+        out = step()
+        kept = stage(out, name)
+    remove(spark, [p for p in paths if p != kept._staged_path])
+    if (outer := _owner.get()) is not None:
+        outer.append(kept._staged_path)
+    return kept
+
+
+def is_staged(df: DataFrame) -> bool:
+    return hasattr(df, "_staged_path")
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     remove(df.sparkSession, [df._staged_path])

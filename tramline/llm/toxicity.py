@@ -1,14 +1,18 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence has the probability sigmoid(bias + sum of the weights of its
-features); the document has their noisy-or, 1 - prod(1 - p). Weights are trained from document labels
-only, by gradient descent on the log loss of the noisy-or, so they fall on the sentences that explain a
-label; `offending_sentences` returns those.
-
-Features are words and word stems (first 3 to 6 letters) of the text; label, language, source and id
-are no inputs. Training takes at most SAMPLE labelled rows, those of the smallest hash of the id;
-features are the FEATURES strongest of them by log odds. Scoring covers every whole text.
-An empty or null text scores like one sentence without features.
+A document is a bag of sentences. A sentence that holds known features has the probability
+sigmoid(bias + sum of the weights of its distinct features); the document has their leaky noisy-or,
+1 - (1 - leak) * prod(1 - p): the leak, sigmoid(bias), stands once for all sentences without a known
+feature, so a long clean text isn't toxic for its length. Weights are trained from document labels only,
+by gradient descent on the log loss of that noisy-or, so they fall on the sentences that explain a label;
+`offending_sentences` returns those. Training and scoring share one function for the features of a text.
+
+Features are words and word stems (first 3 to 6 letters) of the lower-cased text; label, language, source
+and id are no inputs. Training takes at most SAMPLE distinct labelled ids, those of the smallest hash; of
+rows with one id, the one of the least text. Features are the FEATURES strongest of them by log odds,
+counted on the executors; the driver gets only those and the sentences as feature numbers. Scoring covers
+every whole text. Null or empty text: the leak alone. Repeated rows are scored alike, other columns aren't
+read, an empty table gives an empty result; without labels of both kinds all scores are 0 or all 1.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, release
+from .common import documents, drop_stage, release, stage
 
 SAMPLE, FEATURES, SEED_FOLD, LEAST = 6000, 1500, 2, 4
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -33,89 +37,77 @@ def features(word: str) -> tuple[str, ...]:
     return (word, *(word[:n] + "*" for n in (3, 4, 5, 6) if len(word) > n))
 
 
+class Known(dict):
+    """word -> its features that have a number. Words seen are remembered up to a bound."""
+
+    def __init__(self, names: list[str]):
+        self.number = {f: i for i, f in enumerate(names)}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = tuple(self.number[f] for f in features(word) if f in self.number)
+        return found
+
+
+def sentences(text: str, known: Known) -> list[tuple[int, int, list[int]]]:
+    """(start, end, distinct known features) of the sentences that hold any; offsets in code points of text."""
+    out, start, low = [], 0, text.lower()
+    # U+0130 grows when lower-cased: offsets after it go back by as much
+    grown = [] if len(low) == len(text) else [i + k for k, i in enumerate(i for i, c in enumerate(text) for _ in range(len(c.lower()) - 1))]
+    for cut in [*SENTENCE.finditer(low), None]:
+        end = cut.start() if cut else len(low)
+        hit = set().union(*filter(None, map(known.__getitem__, WORD.findall(low, start, end))))
+        if hit:
+            out.append((start - bisect_left(grown, start), end - bisect_left(grown, end), sorted(hit)))
+        start = cut.end() if cut else end
+    return out
+
+
 def fold_of(doc_id):
     """crc32 of the id as text, mod 4; rows of fold 2 are held out."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
 class Model:
-    """weights: feature -> weight. Words seen are remembered up to a bound, as weight sums."""
+    """bias, and the weight of each named feature."""
 
     def __init__(self, bias: float, weights: dict[str, float]):
-        self.bias, self.weights = bias, weights
-
-    def word_weights(self) -> dict:
-        weights = self.weights
-
-        class Memo(dict):
-            def __missing__(self, word):
-                if len(self) > 200_000:
-                    self.clear()
-                total = self[word] = sum(weights.get(f, 0.0) for f in features(word))
-                return total
-
-        return Memo()
-
-    def sentence_logits(self, text: str, memo: dict) -> list[tuple[int, int, float]]:
-        """(start, end, logit) of the sentences that hold a weighted word; all others have the bias."""
-        out, start = [], 0
-        low = text.lower()
-        # U+0130 grows when lower-cased: offsets after it go back by as much
-        grown = [] if len(low) == len(text) else [i + k for k, i in enumerate(i for i, c in enumerate(text) for _ in range(len(c.lower()) - 1))]
-        for cut in [*SENTENCE.finditer(low), None]:
-            end = cut.start() if cut else len(low)
-            total = sum(map(memo.__getitem__, WORD.findall(low, start, end)))
-            if total:
-                out.append((start - bisect_left(grown, start), end - bisect_left(grown, end), self.bias + total))
-            start = cut.end() if cut else end
-        return out
-
-    def score(self, text: str, memo: dict) -> float:
-        logits = self.sentence_logits(text, memo)
-        # sentences without a weighted word carry the base rate of one sentence in all
-        miss = np.log1p(np.exp(self.bias))
-        for _, _, z in logits:
-            miss += np.logaddexp(0.0, z)
+        self.bias, self.names, self.values = bias, list(weights), list(weights.values())
+
+    def known(self) -> Known:
+        return Known(self.names)
+
+    def sentence_logits(self, text: str, known: Known) -> list[tuple[int, int, float]]:
+        """(start, end, logit) of the sentences that hold a known feature."""
+        return [(a, b, self.bias + sum(self.values[f] for f in hit)) for a, b, hit in sentences(text, known)]
+
+    def score(self, text: str, known: Known) -> float:
+        miss = float(np.logaddexp(0.0, self.bias))
+        for _, _, z in self.sentence_logits(text, known):
+            miss += float(np.logaddexp(0.0, z))
         return float(-np.expm1(-miss))
 
 
-def bag(text: str, index: dict[str, int]) -> list[list[int]]:
-    out = []
-    for sentence in SENTENCE.split(text.lower()):
-        hit = sorted({index[f] for w in WORD.findall(sentence) for f in features(w) if f in index})
-        if hit:
-            out.append(hit)
-    return out
+def found_features(text: str) -> set[str]:
+    return {f for w in set(WORD.findall(text.lower())) for f in features(w)}
 
 
-def train(rows: list[tuple[str, int]], n_features: int = FEATURES, steps: int = 200, l2: float = 2e-4) -> Model:
-    """Fit from (text, 0/1) rows; needs both labels, else every score is the base rate."""
-    rows = sorted(((t or "", int(y)) for t, y in rows))
-    positive = sum(y for _, y in rows)
-    if not positive or positive == len(rows):
-        return Model(20.0 if positive else -20.0, {})
-    found = lambda text: {f for w in set(WORD.findall(text.lower())) for f in features(w)}
-    pos, neg = Counter(), Counter()
-    for text, y in rows:
-        if y:
-            pos.update(found(text))
-    # only these can be chosen, so only these are counted among the negatives
-    pos = Counter({f: c for f, c in pos.items() if c >= LEAST})
-    for text, y in rows:
-        if not y:
-            neg.update(found(text) & pos.keys())
-    n_pos, n_neg = positive, len(rows) - positive
-    # a feature of at least LEAST positives, most often seen in them
-    odds = {f: np.log((c + 0.5) / (n_pos + 1)) - np.log((neg[f] + 0.5) / (n_neg + 1)) for f, c in pos.items() if c >= neg[f]}
+def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, n_features: int) -> dict[str, float]:
+    """The strongest features, those of LEAST positives and most often seen in positives, with their log odds."""
+    odds = {f: float(np.log((c + 0.5) / (n_pos + 1)) - np.log((neg.get(f, 0) + 0.5) / (n_neg + 1))) for f, c in pos.items() if c >= LEAST and c >= neg.get(f, 0)}
     names = sorted(odds, key=lambda f: (-odds[f] * np.sqrt(pos[f]), f))[:n_features]
-    index = {f: i for i, f in enumerate(names)}
-    sent_doc, cols, sent_of, y = [], [], [], np.array([y for _, y in rows], float)
-    for d, (text, _) in enumerate(rows):
-        for hit in bag(text, index):
-            sent_of += [len(sent_doc)] * len(hit)
-            cols += hit
-            sent_doc.append(d)
-    sent_doc, cols, sent_of = np.array(sent_doc, np.int64), np.array(cols, np.int64), np.array(sent_of, np.int64)
+    return {f: odds[f] for f in names}
+
+
+def fit(odds: dict[str, float], bags: list[tuple[int, list[list[int]]]], steps: int = 200, l2: float = 2e-4) -> Model:
+    """Weights from (label, feature numbers of each sentence) of documents."""
+    bags = sorted(bags)
+    names, y = list(odds), np.array([y for y, _ in bags], float)
+    sent_doc = np.array([d for d, (_, bag) in enumerate(bags) for _ in bag], np.int64)
+    widths = [len(hit) for _, bag in bags for hit in bag]
+    cols = np.array([f for _, bag in bags for hit in bag for f in hit], np.int64)
+    sent_of = np.repeat(np.arange(len(widths)), widths)
     # from the log odds of whole words on: documents that several words explain don't thin those words out
     prior = np.array([0.0 if f.endswith("*") else min(6.0, odds[f]) for f in names])
     w, b = prior.copy(), -5.0
@@ -135,29 +127,83 @@ def train(rows: list[tuple[str, int]], n_features: int = FEATURES, steps: int =
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w -= 0.1 * (mw / c1) / (np.sqrt(vw / c2) + 1e-8)
         b -= 0.1 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    model = Model(float(b), {f: round(float(x), 6) for f, x in zip(names, w, strict=True) if abs(x) > 0.05})
-    del sent_doc, cols, sent_of
-    release()
-    return model
+    return Model(float(b), {f: round(float(x), 6) for f, x in zip(names, w, strict=True)})
+
+
+def constant(n_pos: int, n: int) -> Model | None:
+    """The model of labels of one kind, or of none."""
+    return None if 0 < n_pos < n else Model(20.0 if n_pos else -20.0, {})
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most `sample` labelled rows outside the held-out fold, by smallest hash of the id."""
+def train(rows: list[tuple[str, int]], n_features: int = FEATURES) -> Model:
+    """Fit from (text, 0/1) rows in memory."""
+    rows = [(t or "", int(y)) for t, y in rows]
+    n_pos = sum(y for _, y in rows)
+    if model := constant(n_pos, len(rows)):
+        return model
+    pos, neg = Counter(), Counter()
+    for text, y in rows:
+        (pos if y else neg).update(found_features(text))
+    odds = choose(pos, neg, n_pos, len(rows) - n_pos, n_features)
+    known = Known(list(odds))
+    return fit(odds, [(y, [hit for _, _, hit in sentences(t, known)]) for t, y in rows])
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, toxic, text of at most `sample` labelled ids outside the held-out fold, by smallest hash of the id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != SEED_FOLD))
     # the bound holds before any text moves
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = documents(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(2 * sample).collect()
-    return [(r[0], r[1]) for r in rows]
+    chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -> Model:
+    """The model of a training sample. Texts stay on the executors."""
+    rows = stage(training_sample(docs, labels, sample), "toxicity-sample")
+    n, n_pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if model := constant(n_pos, n):
+        drop_stage(rows)
+        return model
+
+    def count(batches):
+        pos, neg = Counter(), Counter()
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                (pos if y else neg).update(found_features(text.as_py()))
+        names = sorted(pos.keys() | neg.keys())
+        for at in range(0, len(names), 50_000):
+            part = names[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([pos[f] for f in part], pa.int64()), pa.array([neg[f] for f in part], pa.int64())], ["feature", "pos", "neg"])
+        pos = neg = names = None
+        release()
+
+    texts = rows.select("toxic", "text")
+    counts = texts.mapInArrow(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    strength = (F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n - n_pos + 1))) * F.sqrt("pos")
+    top = counts.filter((F.col("pos") >= LEAST) & (F.col("pos") >= F.col("neg"))).orderBy(strength.desc(), "feature").limit(n_features).collect()
+    odds = choose({r[0]: r[1] for r in top}, {r[0]: r[2] for r in top}, n_pos, n - n_pos, n_features)
+    names = list(odds)
+
+    def bags(batches):
+        known = Known(names)
+        for batch in batches:
+            found = [[hit for _, _, hit in sentences(t.as_py(), known)] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["toxic", "bag"])
+        release()
+
+    got = texts.mapInArrow(bags, "toxic int, bag array<array<int>>").collect()
+    drop_stage(rows)
+    return fit(odds, [(r[0], r[1]) for r in got])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of each row."""
 
     def run(batches):
-        memo = model.word_weights()
+        known = model.known()
         for batch in batches:
-            values = [model.score(t, memo) for t in batch.column(1).to_pylist()]
+            values = [model.score(t, known) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
 
     return documents(docs).mapInArrow(run, "doc_id long, score double")
@@ -167,11 +213,11 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.3) -
     """doc_id, start, end (code points), probability of the sentences at or over the threshold."""
 
     def run(batches):
-        memo = model.word_weights()
+        known = model.known()
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b, z in model.sentence_logits(text, memo):
+                for a, b, z in model.sentence_logits(text, known):
                     if (p := float(1 / (1 + np.exp(-z)))) >= threshold:
                         out.append((doc_id, a, b, p))
             columns = list(zip(*out, strict=True)) or [()] * 4
@@ -181,14 +227,14 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.3) -
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, that score below the threshold."""
+    """The rows of docs, all columns whatever their names, that score below the threshold."""
 
     def run(batches):
-        memo = model.word_weights()
+        known = model.known()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([model.score(t or "", memo) < threshold for t in texts], pa.bool_()))
-        memo.clear()
+            yield batch.filter(pa.array([model.score(t or "", known) < threshold for t in texts], pa.bool_()))
+        known.clear()
         release()
 
     return docs.mapInArrow(run, docs.schema)
