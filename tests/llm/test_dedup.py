@@ -168,3 +168,35 @@ def test_dedup_empty(spark):
     assert substring_dedup.dedup(none).count() == 0
     assert ngram_join.jaccard_join(none).count() == 0
     assert ngram_join.keep_first(none).count() == 0
+
+
+def test_columns_of_any_name_are_carried(spark):
+    said = " ".join(f"p{i}" for i in range(30))
+    rows = [(5, f"{said} five", 1), (2, f"two {said}", 2), (9, "q w e r t y u i", 3), (2, f"two {said}", 4), (None, said, 5), (7, None, 6), (8, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    for i, name in enumerate(("my col", "n_words", "removed", "kept_text", "chunk", "a-b.c", "n", "cls", "Ünï`code", "local", "answer")):
+        df = df.withColumn(name, F.lit(i) if i % 2 else F.array(F.struct(F.lit(i).alias("x y"))))
+    first = ngram_join.keep_first(df)
+    assert first.schema == df.schema and sorted((r["doc_id"] or -1) for r in first.collect()) == [2, 7, 8, 9]
+    cut = substring_dedup.without_repeats(df)
+    assert cut.schema == df.schema
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_chars"], r["n_words"]) for r in cut.collect()), key=repr)
+    want = [(2, f"two {said}", 2, 1), (2, f"two {said}", 4, 1), (5, "five", 4, 1), (9, "q w e r t y u i", 3, 1), (7, None, 6, 1), (8, "", 7, 1)]
+    assert got == sorted(want, key=repr)  # all words of the row without an id stand in a smaller one
+    assert substring_dedup.without_repeats(df.limit(0)).count() == ngram_join.keep_first(df.limit(0)).count() == 0
+
+
+def test_windows_of_one_key_are_told_apart():
+    key = np.array([7, 7, 7, 3], np.uint64)
+    more = np.array([1, 2, 1, 1], np.uint64)
+    assert substring_dedup._least_of(key, more, np.array([5, 2, 4, 9])).tolist() == [4, 2, 4, 9]
+
+
+def test_repeats_are_maximal(spark):
+    rng = random.Random(5)
+    say = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    a, b = say(40), say(12)
+    rows = [(1, " ".join(say(9) + a + say(9) + b)), (2, " ".join(say(20) + a[3:] + say(5) + b)), (3, " ".join(a[:13] + say(1) + a[14:30]))]
+    out = {r["doc_id"]: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spans = {i: [(s["start"], s["end"]) for s in r["removed"]] for i, r in out.items()}
+    assert spans == {1: [], 2: [(20, 57)], 3: [(0, 13), (14, 30)]}  # 12 words are too few

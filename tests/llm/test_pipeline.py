@@ -46,7 +46,7 @@ def test_stages(spark, tmp_path):
     holders = sorted(i for i in kept if passage in (rows[i][1] or ""))
     assert [passage in dedup[i]["text"] for i in holders] == [True] + [False] * (len(holders) - 1)
     for i in kept - set(holders):
-        assert dedup[i]["text"] == (rows[i][1] or "") and dedup[i]["source"] == rows[i][3]
+        assert dedup[i]["text"] == rows[i][1] and dedup[i]["source"] == rows[i][3]
     mixed = Counter()
     for r in outs[3]["rows"]:
         mixed[r["doc_id"]] += len(words(r["text"]))

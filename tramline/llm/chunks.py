@@ -46,6 +46,12 @@ def read_chunk(path: str) -> pa.Table:
         return pa.ipc.open_file(f).read_all()
 
 
+def write_table(path: str, table: pa.Table) -> None:
+    fs, at = _open(path)
+    with fs.open_output_stream(at, compression=None) as f, pa.ipc.new_file(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table, max_chunksize=2000)
+
+
 def encode_keys(keys: np.ndarray) -> bytes:
     """Sorted uint64 keys: 32-bit steps where they fit."""
     if len(keys) > 1 and (steps := np.diff(keys)).max() < 2**32:
@@ -87,7 +93,7 @@ def bucket_count(df: DataFrame) -> int:
 def build(docs: DataFrame, summarize: Callable, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Staged pointer rows and packed rows of docs (doc_id, text, ...).
 
-    summarize(ids, texts) -> (keys sorted, vals uint16, summary bytes). A pointer row has the file's
+    summarize(ids, texts, the chunk's path) -> (keys sorted, vals uint16, summary bytes). A pointer row has the file's
     path in keys and the summary in vals.
     """
     folder, buckets = new_path(docs.sparkSession, name), bucket_count(docs)
@@ -100,10 +106,10 @@ def build(docs: DataFrame, summarize: Callable, name: str, chunk_bytes: int = CH
         def flush():
             chunk = uuid.uuid4().hex
             table = pa.Table.from_batches(held)
-            with fs.open_output_stream(f"{root}/{chunk}.arrow", compression=None) as f, pa.ipc.new_file(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table, max_chunksize=2000)
-            keys, vals, summary = summarize(table.column("doc_id").to_pylist(), table.column("text").to_pylist())
-            rows = [(chunk, POINTER, f"{folder}/{chunk}.arrow".encode(), summary), *pack(chunk, keys, vals, buckets)]
+            path = f"{folder}/{chunk}.arrow"
+            write_table(path, table)
+            keys, vals, summary = summarize(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), path)
+            rows = [(chunk, POINTER, path.encode(), summary), *pack(chunk, keys, vals, buckets)]
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 64], strict=True), _FIELDS, strict=True)], schema=_FIELDS)
 

@@ -13,7 +13,9 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -157,5 +159,19 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+NAMED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def whole_rows(fn: Callable) -> Callable:
+    """fn(docs, ...) -> rows of docs' columns, made safe for other columns of any names: fn sees them by number."""
+
+    @wraps(fn)
+    def run(docs: DataFrame, *args, **how) -> DataFrame:
+        numbered = docs.toDF(*(c if c in NAMED else f"_{i}" for i, c in enumerate(docs.columns)))
+        return fn(numbered, *args, **how).toDF(*docs.columns)
+
+    return run
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

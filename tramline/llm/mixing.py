@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, whole_rows
 
 WEIGHTS = (3, 1, 2)
 PHI = 0.6180339887498949
@@ -106,6 +106,7 @@ def taken(rows: DataFrame, targets: DataFrame, schedule: DataFrame) -> DataFrame
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+@whole_rows
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents, all columns of docs: a row for each pass in which words of it are taken.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, drop_stage, release, stage
+from .common import documents, drop_stage, release, stage, whole_rows
 
 SAMPLE, FEATURES, SEED_FOLD, LEAST = 6000, 1500, 2, 4
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -226,6 +226,7 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.3) -
     return documents(docs).mapInArrow(run, "doc_id long, start int, end int, probability double")
 
 
+@whole_rows
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns whatever their names, that score below the threshold."""
 
