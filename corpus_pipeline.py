@@ -1,84 +1,51 @@
 """The corpus pipeline: toxicity, near-duplicates, repeated passages, mixture, token ids.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is written as
-Parquet before the next one reads it. All but the last return the columns of documents.
+Parquet before the next one reads it. All but the last return the columns of documents. A stage leaves only
+its result in the shared folder; run() removes that once the next one has been written. In every stage a null
+text counts as empty, rows of equal ids are rows, further columns of any name are carried and an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm import byte_bpe, mixing, ngram_join, substring_dedup, toxicity
-from tramline.llm.common import collecting, remove, stage
+from tramline.llm.common import drop_stage, is_staged, result_only, stage
 
 TOXIC = 0.3
-CHUNK_BYTES = 6 << 20  # of the last stage, whose workers still hold what earlier stages left
-
-_left: list[str] = []  # what the stage before has in the shared folder
-
-
-def tidy(step):
-    """Removes what the stage before left there: its result has been written and docs is read from that.
-
-    Docs that still read those files keep them.
-    """
-
-    @wraps(step)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _left and not any(p in f for f in docs.inputFiles() for p in _names(_left)):
-            remove(spark, _left)
-        with collecting() as paths:
-            out = step(spark, docs, sf_dir)
-        _left[:] = paths
-        return out
-
-    return run
-
-
-def _names(paths: list[str]) -> list[str]:
-    return [p.rsplit("/", 1)[-1] for p in paths]
 
 
-@tidy
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go; it learns from the labelled rows among docs."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(toxicity.training_sample(docs, labels))
-    return toxicity.keep_clean(docs, model, TOXIC)
+    return toxicity.keep_clean(docs, toxicity.learn(docs, labels), TOXIC)
 
 
-@tidy
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the least id stays."""
-    return ngram_join.keep_first(docs)
+    return result_only(lambda: ngram_join.keep_first(docs), spark, "one-of-each-group")
 
 
-@tidy
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; a document of which nothing is left goes too."""
-    other = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    kept = substring_dedup.dedup(docs, carry=other).filter("n_removed = 0 or n_removed < n_words")
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return kept.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return result_only(lambda: substring_dedup.without_repeats(docs), spark, "cut-repeats")
 
 
-@tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources in their target shares; a document comes once for each pass that takes it."""
-    return mixing.mixture(docs)
+    return result_only(lambda: mixing.mixture(docs), spark, "mixture")
 
 
-@tidy
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text decoded from them."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = F.col("ids")
-    return byte_bpe.encode(docs, path, CHUNK_BYTES).select("doc_id", F.size(ids).cast("long").alias("n_tokens"), ids, byte_bpe.decode(ids, path).cast("string").alias("text"))
+    return byte_bpe.encode(docs, path).select("doc_id", F.size(ids).cast("long").alias("n_tokens"), ids, byte_bpe.decode(ids, path).cast("string").alias("text"))
 
 
 STAGES = [
@@ -94,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        out = step(spark, docs, sf_dir)
+        docs = out if is_staged(out) else stage(out, f"pipeline-{name}")
+        if before is not None:
+            drop_stage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
