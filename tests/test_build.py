@@ -63,7 +63,10 @@ def test_signal_ready(spark, rows, tmp_path):
     assert lanes["sim_104_f_2_6", 0]["confidence"] == "present" and lanes["sim_104_f_2_6", 0]["raw"] == "left"
     assert len(lanes["sim_104_f_2_6", 0]["to_links"]) == 1
     ready = out["readiness"].collect()[0]
-    assert ready["signals"] == 1 and ready["junctions"] == 1 and ready["movements"] > 0
+    assert ready["preserved_signal_nodes"] == ready["candidate_junctions"] == ready["confirmed_junctions"] == 1 and ready["via_way_restrictions"] == 1
+    assert ready["preserved_semantic_nodes"] == out["nodes"].count() and ready["collapsed_geometry_nodes"] > 0
+    junction = out["junctions"].collect()[0]
+    assert junction["n_movements"] == out["movements"].count() > 0 and junction["provenance"].startswith("osm_node=") and junction["confidence"] == 2
     assert {r["type"] for r in out["movements"].collect()} >= {"u_turn", "through", "left"}
 
 

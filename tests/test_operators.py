@@ -102,6 +102,21 @@ def test_signal_clusters_and_lane_cycles(spark, rows):
     assert rows(roads.lane_cycles(lanes)) == [("j", "1"), ("k", "2"), ("k", "3")]
 
 
+def test_movements_of_a_junction_of_two_signals(spark, rows):
+    link = "link_id string, from_id string, to_id string, length double, link_class string, modes array<string>"
+    car, both = ["car"], ["bus", "car"]
+    links = spark.createDataFrame([("in", "x", "a", 9.0, "primary", both), ("ab", "a", "m", 5.0, "primary_link", car), ("mb", "m", "b", 5.0, "primary_link", car), ("out", "b", "y", 9.0, "primary", car), ("side", "z", "b", 9.0, "primary", car), ("back", "a", "x", 9.0, "primary", both), ("bus", "b", "q", 9.0, "primary", ["bus"])], link)
+    sig = spark.createDataFrame([("a",), ("b",)], "node_id string")
+    clusters, witnesses = signals.junction_clusters(sig, links, 30.0)
+    assert rows(clusters) == [("a", "a"), ("b", "a")] and rows(witnesses) == [("a", ["a", "m", "b"])]
+    assert rows(signals.witness_reach(clusters, witnesses)) == [("a", "a", "a"), ("a", "a", "b"), ("a", "b", "b")]  # one way
+    forbidden = spark.createDataFrame([("in", "back", "car")], "from_link string, to_link string, mode string")
+    moves = signals.cluster_movements(links, forbidden, clusters, witnesses)
+    assert {(r["from_link"], r["to_link"]): (r["controlled"], r["legal"]) for r in moves.collect()} == {("in", "back"): (both, ["bus"]), ("in", "out"): (car, car), ("in", "bus"): (["bus"], ["bus"]), ("side", "out"): (car, car)}
+    _, _, internal = signals.boundary_links(links, clusters, witnesses)
+    assert rows(internal) == [("a", "ab"), ("a", "mb")]
+
+
 def test_lane_rules(spark):
     lanes = spark.createDataFrame([("L", "a", ["M"], [], "900", "1", 1), ("L", "a", [], [], "x", "1", 1), ("N", None, ["Z"], [], "1", "1", 2), ("N", "b", ["M"], [], "1", "1", 3)], "link_id string, lane_id string, to_links array<string>, to_lanes array<string>, capacity string, starts_at string, assignment int")
     links = spark.createDataFrame([("L",), ("M",)], "link_id string")

@@ -246,14 +246,24 @@ def turn_restrictions(members: DataFrame, relation_tags: DataFrame, links: DataF
     return pairs.join(modes, "relation_id").select("from_link", "to_link", "mode").distinct(), issues
 
 
+def restriction_index(forbidden: DataFrame) -> DataFrame:
+    """from_link, to_link, modes: the forbidden modes of each pair of links, one row a pair."""
+    return forbidden.groupBy("from_link", "to_link").agg(F.array_sort(F.collect_set("mode")).alias("modes"))
+
+
 def movements(links: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """via, from_link, to_link, controlled, restricted, legal of each pair of links that share a mode at a node."""
+    """via, from_link, to_link, controlled, restricted, legal of each pair of two links that share a mode at a node."""
     a = links.select(F.col("to_id").alias("via"), F.col("link_id").alias("from_link"), F.col("modes").alias("in_modes"))
     b = links.select(F.col("from_id").alias("via"), F.col("link_id").alias("to_link"), F.col("modes").alias("out_modes"))
+    return controlled_modes(a.join(b, "via").filter("from_link <> to_link"), forbidden).select("via", "from_link", "to_link", "controlled", "restricted", "legal")
+
+
+def controlled_modes(pairs: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """pairs (from_link, to_link, in_modes, out_modes) that share a mode, with the modes controlled, restricted, legal."""
     shut = forbidden.groupBy("from_link", "to_link").agg(F.array_sort(F.collect_set("mode")).alias("shut"))
-    m = a.join(b, "via").withColumn("controlled", F.array_sort(F.array_intersect("in_modes", "out_modes"))).filter("size(controlled) > 0")
-    m = m.join(shut, ["from_link", "to_link"], "left").withColumn("restricted", F.array_intersect("controlled", F.coalesce("shut", F.array().cast("array<string>"))))
-    return m.select("via", "from_link", "to_link", "controlled", "restricted", F.array_except("controlled", "restricted").alias("legal"))
+    m = pairs.withColumn("controlled", F.array_sort(F.array_intersect("in_modes", "out_modes"))).filter("size(controlled) > 0").join(shut, ["from_link", "to_link"], "left")
+    m = m.withColumn("restricted", F.array_intersect("controlled", F.coalesce("shut", F.array().cast("array<string>"))))
+    return m.withColumn("legal", F.array_except("controlled", "restricted"))
 
 
 # --- lanes ------------------------------------------------------------------------------------------

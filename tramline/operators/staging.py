@@ -19,8 +19,33 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh shared folder; what nobody has removed goes when the driver ends."""
+    path = f"{shared_folder(spark)}/network/{name}-{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
+    """df, written and read back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/network/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(spark, name)
+    df.write.parquet(f"{path}/rows")
+    out = spark.read.schema(df.schema).parquet(f"{path}/rows")
+    out._staged_path = path
+    return out
+
+
+def drop(*staged: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more, such as those of an iteration's last round."""
+    for df in staged:
+        fs, at = _hadoop(df.sparkSession, df._staged_path)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)

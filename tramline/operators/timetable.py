@@ -119,6 +119,11 @@ def vehicles(departure_rows: DataFrame, patterns: DataFrame) -> tuple[DataFrame,
     return types, own.select(F.col("departure_id").alias("vehicle_id"), F.col("mode").alias("type_id"))
 
 
+def used_vehicles(vehicles: DataFrame, departures: DataFrame, key: str = "vehicle_id") -> DataFrame:
+    """The vehicles that a departure names."""
+    return vehicles.join(departures.select(key), key, "left_semi")
+
+
 def platforms(stops: DataFrame) -> DataFrame:
     """Stops of location type 0 with coordinates other than (0, 0)."""
     return stops.filter("coalesce(location_type, 0) = 0 and not (stop_lat = 0 and stop_lon = 0)")

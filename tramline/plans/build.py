@@ -38,7 +38,8 @@ def road_network(tables: dict[str, DataFrame], config: roads.RoadConfig = roads.
     links = stage(links, "links")
     used = links.select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct()
     places = nodes.select(F.concat(F.lit("osm_node_"), "node_id").alias("node_id"), "x", "y").join(used, "node_id", "left_semi")
-    out = {"nodes": places, "links": links, "issues": issues, "resolved": resolved}
+    graph = segs.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
+    out = {"nodes": places, "links": links, "issues": issues, "resolved": resolved, "n_graph_nodes": graph.count()}
     if config.clean:
         cleaned = network.clean(places, links, list(config.routable))
         removed = cleaned["invalid"].select(F.lit("removed-invalid-link").alias("code"), F.col("link_id").alias("way_id"), F.lit("").alias("message"))
@@ -56,16 +57,22 @@ def signal_ready(tables: dict[str, DataFrame], config: roads.RoadConfig = roads.
     out["forbidden"] = forbidden
     out["restriction_issues"] = problems
     out["lanes"], out["lane_issues"] = roads.lane_table(links, nodes, out["resolved"])
-    moves = stage(roads.movements(links, forbidden), "moves")
-    lit = tables["nodes"].filter(roads.T.is_signalized(F.col("tags"))).select(F.concat(F.lit("osm_node_"), "node_id").alias("node_id")).join(nodes.select("node_id"), "node_id", "left_semi")
+    out["restrictions_by_pair"] = roads.restriction_index(forbidden)
+    ident = F.concat(F.lit("osm_node_"), "node_id").alias("node_id")
+    lit = tables["nodes"].filter(roads.T.is_signalized(F.col("tags"))).select(ident).join(nodes.select("node_id"), "node_id", "left_semi")
     kinds = links.join(out["resolved"].select("way_id", F.col("tags")["highway"].alias("link_class")), "way_id", "left")
-    clusters = stage(signals.cluster_signals(lit, kinds, threshold), "clusters")
+    clusters, witnesses = signals.junction_clusters(lit, kinds, threshold)
+    clusters, witnesses = stage(clusters, "clusters"), stage(witnesses, "witnesses")
+    moves = stage(signals.cluster_movements(links, forbidden, clusters, witnesses), "moves")
     ends = nodes.select("node_id", "x", "y")
     at = links.join(ends.select(F.col("node_id").alias("from_id"), F.col("x").alias("fx"), F.col("y").alias("fy")), "from_id").join(ends.select(F.col("node_id").alias("to_id"), F.col("x").alias("tx"), F.col("y").alias("ty")), "to_id")
     headings = at.select("link_id", (F.col("tx") - F.col("fx")).alias("vx"), (F.col("ty") - F.col("fy")).alias("vy"))
-    out["movements"], out["junctions"] = signals.junctions(moves, clusters, headings)
-    out["junction_issues"] = signals.junction_issues(lit, links, moves)
-    out["readiness"] = signals.readiness(lit, out["junctions"], out["movements"], out["junction_issues"])
+    found, described = signals.junctions(moves, links, clusters, witnesses, headings, tables["nodes"].select(ident, "tags"))
+    out["movements"], out["junctions"] = found, stage(described, "junctions")
+    turn_lanes = F.size(F.filter(F.map_keys("tags"), lambda k: k.startswith("turn:lanes"))) > 0
+    on_lanes = links.select("link_id", F.explode("ways").alias("way_id")).join(out["resolved"].filter(turn_lanes).select("way_id"), "way_id", "left_semi").select("link_id").distinct()
+    out["junction_issues"] = signals.junction_issues(out["junctions"], moves, links, clusters, on_lanes)
+    out["readiness"] = signals.readiness(out["junctions"], links, clusters, on_lanes, out["n_graph_nodes"], nodes.count(), lit.count(), problems)
     return out
 
 
@@ -121,7 +128,7 @@ def mapped(net: dict[str, DataFrame], sched: dict[str, DataFrame], project, radi
         "nodes": net["nodes"].select("node_id", "x", "y").unionByName(m["artificial_nodes"]), "links": net["links"].select(columns).unionByName(m["artificial_links"].select(columns)),
         "stop_facilities": children.select(F.col("child_id").alias("stop_id"), "x", "y", "link_id", "name", "blocking", "lon", "lat"), "lines": sched["lines"].join(clip["routes"].select("line_id").distinct(), "line_id", "left_semi"),
         "routes": sched["routes"].join(clip["routes"], ["line_id", "route_id"], "left_semi"), "route_stops": m["route_stops"].drop("stop_id").withColumnRenamed("child_id", "stop_id"), "route_links": m["route_links"],
-        "departures": deps, "vehicles": sched["vehicles"].join(deps.select("vehicle_id"), "vehicle_id", "left_semi"), "vehicle_types": sched["vehicle_types"], "candidates": cand,
+        "departures": deps, "vehicles": timetable.used_vehicles(sched["vehicles"], deps), "vehicle_types": sched["vehicle_types"], "candidates": cand,
     }
 
 

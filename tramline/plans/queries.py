@@ -567,7 +567,7 @@ def restriction_issues(r):
     return roads.turn_restrictions(*relations(r), small_links(r))[1]
 
 
-@query(RESTRICTED + """, mv AS (SELECT a.t AS via, a.link_id AS from_link, b.link_id AS to_link, a.bus AND b.bus AS bus FROM l a JOIN l b ON a.t = b.f), s AS (SELECT from_link, to_link, bool_or(mode = 'car') AS car, bool_or(mode = 'bus') AS bus FROM fb GROUP BY 1, 2)
+@query(RESTRICTED + """, mv AS (SELECT a.t AS via, a.link_id AS from_link, b.link_id AS to_link, a.bus AND b.bus AS bus FROM l a JOIN l b ON a.t = b.f WHERE a.link_id <> b.link_id), s AS (SELECT from_link, to_link, bool_or(mode = 'car') AS car, bool_or(mode = 'bus') AS bus FROM fb GROUP BY 1, 2)
   SELECT 'osm_node_' || via AS via, from_link, to_link, CASE WHEN mv.bus THEN 'bus,car' ELSE 'car' END AS controlled, concat_ws(',', CASE WHEN mv.bus AND NOT COALESCE(s.bus, FALSE) THEN 'bus' END, CASE WHEN NOT COALESCE(s.car, FALSE) THEN 'car' END) AS legal FROM mv LEFT JOIN s USING (from_link, to_link)""")
 def movements(r):
     k = small_links(r)
@@ -771,18 +771,3 @@ def quarantine_groups(r):
     k = sparse_links(r).withColumns({"freespeed": F.lit(1.0), "capacity": F.lit(1.0), "lanes": F.lit(1.0)})
     nodes = k.select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct().withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
     return network.clean(nodes, k, ["car"])["quarantined"]
-
-
-def events_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream, counted by type in one availableNow run; rows only."""
-    import uuid
-
-    name = f"event_counts_{uuid.uuid4().hex}"
-    batch = spark.read.parquet(f"{sf_dir}/events.parquet")
-    live = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("event_type").alias("type"))
-    q = events.counts(live).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
-
-
-QUERIES["events_stream_counts"] = events_stream_counts

@@ -198,7 +198,7 @@ def signals(spark: SparkSession, systems: str | None = None, groups: str | None
         row = lambda df, system, signal, at: df.select(system.alias("system_id"), signal.alias("signal_id"), F.col(f"{at}redAmber._seconds").alias("red_amber"), F.col(f"{at}amber._seconds").alias("amber"))
         none = F.lit(None).cast("string")
         each = a.select("_refId", F.explode("signal").alias("s"))
-        out["amber"] = row(g, none, none, "").unionByName(row(a, F.col("_refId"), none, "systemDefaults.")).unionByName(row(each, F.col("_refId"), F.col("s._refId"), "s."))
+        out["amber"] = row(g, none, none, "").unionByName(row(a.filter("systemDefaults is not null"), F.col("_refId"), none, "systemDefaults.")).unionByName(row(each, F.col("_refId"), F.col("s._refId"), "s."))
     if intergreen:
         i = scan(spark, intergreen, "signalSystem", "_refId string, endingSignalGroup array<struct<_refId:string,beginningSignalGroup:array<struct<_refId:string,_timeSeconds:int>>>>")
         e = i.select(F.col("_refId").alias("system_id"), F.explode("endingSignalGroup").alias("e")).select("system_id", F.col("e._refId").alias("ending"), F.explode("e.beginningSignalGroup").alias("b"))

@@ -31,6 +31,11 @@ def dispatch(events: DataFrame, handlers: dict[str, Callable[[DataFrame], None]]
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
+def typed_stream(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """A stream's rows appended to folder, what has arrived by now, once: progress is kept in checkpoint."""
+    return events.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def typed(events: DataFrame, kind: str) -> DataFrame:
     return events.filter(F.col("type") == kind)
 
@@ -41,8 +46,6 @@ def counts(events: DataFrame) -> DataFrame:
 
 def link_traversals(events: DataFrame) -> DataFrame:
     """vehicle_id, link_id, entered, left of each entry and the next leave of the same vehicle. Batch."""
-    from pyspark.sql import Window as W
-
     moves = events.filter(F.col("type").isin("entered_link", "left_link"))
     after = W.partitionBy("vehicle_id").orderBy("time", F.desc("type"))
     nxt = moves.withColumn("then", F.lead(F.struct("type", "time", "link_id")).over(after))
