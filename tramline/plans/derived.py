@@ -36,7 +36,7 @@ SQL: dict[str, str] = {
     "d_events": "SELECT event_id, user_id AS person, event_type AS type, (event_id * 37) % 86400 AS time, user_id % 40 AS link FROM {events}",
     "d_elements": "SELECT conv_id AS person_id, CAST(0 AS INT) AS plan_idx, turn AS pos, CASE WHEN role = 'user' OR conv_id % 5 = 1 THEN 'leg' ELSE 'activity' END AS kind, CASE WHEN (conv_id + turn) % 3 = 0 THEN NULL ELSE 'car' END AS mode, CASE WHEN conv_id % 7 = 0 THEN turn * 100 END AS start_time, CASE WHEN conv_id % 7 = 0 THEN 150 END AS end_time, CASE WHEN conv_id % 11 = 0 THEN -5 END AS max_dur, CONCAT('f', CAST(conv_id AS STRING)) AS facility_id, (conv_id * 13 + turn) % 400 * 50 AS link_id FROM {conversations}",
     "d_stops": "SELECT s_suppkey AS point_id, (s_suppkey * 7919 % 1009) * 10 + 3 AS x, (s_suppkey * 6121 % 1013) * 10 + 4 AS y, s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN 'bus' WHEN 1 THEN 'rail' ELSE 'pt' END AS mode FROM {supplier}",
-    "d_ways": "SELECT l_orderkey AS way_id, l_linenumber AS pos0, l_partkey, l_suppkey % n AS node_id, l_extendedprice, l_shipdate, l_quantity, l_tax, l_discount FROM {lineitem} CROSS JOIN {d_size} WHERE l_orderkey % 4 = 0",
+    "d_ways": "SELECT l_orderkey AS way_id, l_linenumber AS pos0, l_partkey, l_suppkey % n AS node_id, l_extendedprice, l_shipdate, l_quantity, l_tax, l_discount FROM {lineitem} CROSS JOIN {d_size}",
     "d_refs": "SELECT way_id, CAST(ROW_NUMBER() OVER (PARTITION BY way_id ORDER BY pos0, l_partkey, node_id, l_extendedprice, l_shipdate, l_quantity, l_tax, l_discount) - 1 AS INT) AS pos, node_id FROM {d_ways}",
     "d_tags": """SELECT o_orderkey AS way_id, CASE o_orderkey % 7 WHEN 0 THEN 'motorway' WHEN 1 THEN 'primary' WHEN 2 THEN 'residential' WHEN 3 THEN 'busway' WHEN 4 THEN 'footway' WHEN 5 THEN 'service' END AS highway,
         CASE o_orderkey % 5 WHEN 0 THEN 'rail' WHEN 1 THEN 'tram' END AS railway, CASE o_orderkey % 11 WHEN 0 THEN 'ferry' END AS route,

@@ -318,14 +318,14 @@ def contracted_links(r):
 def short_pairs(r) -> DataFrame:
     e = sparse(r)
     k = F.col("a")
-    return e.filter((k % 10 == 0) & (k % 20 == 0)).select(k.alias("from_link"), (k + 5).alias("to_link"), F.lit("car").alias("mode"))
+    return e.select(k.alias("from_link"), (k + 5).alias("to_link"), F.lit("car").alias("mode"))
 
 
 def sparse_links(r) -> DataFrame:
     return sparse(r).select(F.col("a").alias("link_id"), F.col("a").alias("from_id"), F.col("b").alias("to_id"), (F.col("a") % 7 + 1).cast("double").alias("length"), F.array(F.lit("car")).alias("modes"))
 
 
-WALK = f"""+ e AS ({SPARSE}), k AS (SELECT a AS link_id, a AS f, b AS t, a % 7 + 1 AS length FROM e), p AS (SELECT link_id AS s, link_id + 5 AS e FROM k WHERE link_id % 20 = 0 AND link_id + 5 IN (SELECT link_id FROM k)),
+WALK = f"""+ e AS ({SPARSE}), k AS (SELECT a AS link_id, a AS f, b AS t, a % 7 + 1 AS length FROM e), p AS (SELECT link_id AS s, link_id + 5 AS e FROM k WHERE link_id + 5 IN (SELECT link_id FROM k)),
   go(s, e, cur, node, cost, hops) AS (SELECT s, e, s, k.t, 0, 0 FROM p JOIN k ON k.link_id = p.s UNION ALL SELECT s, e, k.link_id, k.t, cost + k.length, hops + 1 FROM go JOIN k ON k.f = go.node WHERE hops < 12 AND cur <> e """
 
 
@@ -407,11 +407,11 @@ def point_in_polygon(r):
 
 
 def boundary_inputs(r) -> tuple[DataFrame, DataFrame]:
-    ways = r("d_refs").filter("way_id % 8 = 0").groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda s: s["node_id"]).alias("refs"))
+    ways = r("d_refs").groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda s: s["node_id"]).alias("refs"))
     return ways, r("d_nodes").select("node_id", F.col("x").cast("double").alias("lon"), F.col("y").cast("double").alias("lat"))
 
 
-@query(f"""+ e AS (SELECT * FROM (VALUES {EDGES}) AS t(cx, cy, dx, dy)), p AS (SELECT way_id, pos, node_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {{d_refs}} JOIN {{d_nodes}} USING (node_id) WHERE way_id % 8 = 0),
+@query(f"""+ e AS (SELECT * FROM (VALUES {EDGES}) AS t(cx, cy, dx, dy)), p AS (SELECT way_id, pos, node_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {{d_refs}} JOIN {{d_nodes}} USING (node_id)),
   s AS (SELECT a.way_id, a.pos, a.x AS ax, a.y AS ay, COALESCE(b.x, a.x) AS bx, COALESCE(b.y, a.y) AS by_ FROM p a LEFT JOIN p b ON a.way_id = b.way_id AND b.pos = a.pos + 1),
   q AS (SELECT way_id, pos, ax, ay, bx, by_, SUM(CASE WHEN (cy > ay) <> (dy > ay) AND ax < (dx - cx) * (ay - cy) / (dy - cy) + cx THEN 1 ELSE 0 END) % 2 = 1 AS a_in, SUM(CASE WHEN (cy > (ay + by_) / 2) <> (dy > (ay + by_) / 2) AND (ax + bx) / 2 < (dx - cx) * ((ay + by_) / 2 - cy) / (dy - cy) + cx THEN 1 ELSE 0 END) % 2 = 1 AS m_in,
     MAX(CASE WHEN sign((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) * sign((bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax)) < 0 AND sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx)) < 0 THEN 1 ELSE 0 END) = 1 AS crosses FROM s, e GROUP BY ALL)
@@ -532,20 +532,20 @@ def segments_from_ways(r):
 
 
 def small_links(r) -> DataFrame:
-    """Links between 40 junctions, by way = link id / 2."""
-    k = r("d_links").filter("link_id % 20 = 3")
+    """All links, their ends spread over as many nodes as there are; three ways."""
+    k = r("d_links").crossJoin(F.broadcast(r("d_size")))  # one row
     ident = F.concat(F.lit("L"), F.col("link_id").cast("string"))
-    node = lambda v: F.concat(F.lit("osm_node_"), (v % 40).cast("string"))
-    return k.select(ident.alias("link_id"), node(F.col("from_id")).alias("from_id"), node(F.col("link_id") * 7).alias("to_id"), F.when(F.col("link_id") % 3 == 0, F.array(F.lit("bus"), F.lit("car"))).otherwise(F.array(F.lit("car"))).alias("modes"), F.array((F.col("link_id") % 60).cast("string")).alias("ways"))
+    node = lambda v: F.concat(F.lit("osm_node_"), (v % F.col("n")).cast("string"))
+    return k.select(ident.alias("link_id"), node(F.col("from_id")).alias("from_id"), node(F.col("link_id") * 7).alias("to_id"), F.when(F.col("link_id") % 3 == 0, F.array(F.lit("bus"), F.lit("car"))).otherwise(F.array(F.lit("car"))).alias("modes"), F.array((F.col("link_id") % 3).cast("string")).alias("ways"))
 
 
-SMALL = "+ l AS (SELECT 'L' || link_id AS link_id, from_id % 40 AS f, (link_id * 7) % 40 AS t, link_id % 3 = 0 AS bus, CAST(link_id % 60 AS VARCHAR) AS way FROM {d_links} WHERE link_id % 20 = 3), rel AS (SELECT n_nationkey AS id, CAST((n_nationkey * 20 + 3) % 60 AS VARCHAR) AS fw, CAST((n_nationkey * 40 + 23) % 60 AS VARCHAR) AS tw, CASE WHEN n_nationkey % 5 = 3 THEN 7 ELSE n_nationkey % 2 * 20 + 1 END AS via, n_nationkey % 2 = 1 AS only_, n_nationkey % 5 = 0 AS ex FROM {nation})"
+SMALL = "+ l AS (SELECT 'L' || link_id AS link_id, from_id % n AS f, (link_id * 7) % n AS t, link_id % 3 = 0 AS bus, CAST(link_id % 3 AS VARCHAR) AS way FROM {d_links}, {d_size}), rel AS (SELECT n_nationkey AS id, CAST(n_nationkey % 3 AS VARCHAR) AS fw, CAST((n_nationkey + 1) % 3 AS VARCHAR) AS tw, CASE WHEN n_nationkey % 5 = 3 THEN 7 ELSE n_nationkey % 2 * 20 + 1 END AS via, n_nationkey % 2 = 1 AS only_, n_nationkey % 5 = 0 AS ex FROM {nation})"
 
 
 def relations(r) -> tuple[DataFrame, DataFrame]:
     n = F.col("n_nationkey")
     member = lambda kind, ref, role: F.struct(F.lit(kind).alias("type"), ref.cast("string").alias("ref"), F.lit(role).alias("role"))
-    every = F.array(member("way", (n * 20 + 3) % 60, "from"), member("node", F.when(n % 5 == 3, 7).otherwise(n % 2 * 20 + 1), "via"), member("way", (n * 40 + 23) % 60, "to"))
+    every = F.array(member("way", n % 3, "from"), member("node", F.when(n % 5 == 3, 7).otherwise(n % 2 * 20 + 1), "via"), member("way", (n + 1) % 3, "to"))
     rows = r("nation").select(n.alias("relation_id"), F.posexplode(every).alias("pos", "m")).select("relation_id", "pos", "m.*")
     tag = F.create_map(F.lit("type"), F.lit("restriction"), F.lit("restriction"), F.when(n % 2 == 1, "only_straight_on").otherwise("no_left_turn"), F.lit("except"), F.when(n % 5 == 0, "psv").otherwise(""))
     return rows, r("nation").select(n.alias("relation_id"), tag.alias("tags"))
