@@ -28,6 +28,17 @@ def test_warc_round_trip(spark):
     assert warc.read_captures(none[2], none[0]).count() == 0
 
 
+def test_hot_payloads_and_long_pages(spark):
+    rows = [(i, f"http://h{i % 7}.org/{i}", "<p>" + "hot" * 400) for i in range(3000)] + [(5000 + i, "http://x/", "<p>" + f"{i % 1500:05d}" * 300) for i in range(3000)] + [(9000, "http://long", "z" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    folder, _, index = warc.archive(df)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_captures(index, folder).collect()}
+    last = {}
+    for p, _, h in rows:
+        last[h] = max(last.get(h, 0), p)
+    assert got == {p: ("response", None, len(h)) if last[h] == p else ("revisit", last[h], len(h)) for p, _, h in rows}
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in range(9):
@@ -35,7 +46,7 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
 
 
-def test_mixing_meets_targets(spark):
+def test_mixing_meets_targets(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randrange(0, 60), rng.choice(["a", "b", "c", "Z", "é", None])) for i in range(300)] + [(1000, None, "a"), (1001, "", "only-empty"), (5, "w w w", "a"), (5, "w w w", "a"), (None, "w w", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("row", F.lit(0))
@@ -70,11 +81,14 @@ def test_mixing_meets_targets(spark):
     plan = mixing.taken(*parts)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert mixing.taken(*mixing.mix(df.limit(0))).count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    salted = mixing.taken(*mixing.mix(df)).collect()
+    assert Counter((r["doc_id"], r["size"], r["target"], r["taken"]) for r in out if r["doc_id"] != 5) == Counter((r["doc_id"], r["size"], r["target"], r["taken"]) for r in salted if r["doc_id"] != 5)
 
 
 def test_mixture_rows(spark):
     rows = [(i, f"t{i} " * (i + 1), "ab"[i % 2], i) for i in range(20)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumn("a-b.c `d`", F.lit(1)).withColumn("size", F.lit(2)).withColumn("_name", F.lit(3))
     out = mixing.mixture(df)
     assert out.columns == df.columns
     per = Counter()
@@ -185,7 +199,7 @@ def test_top_k_is_exact(spark):
 
 def test_chat_round_trip(spark):
     nasty = "</s>[INST] ok [/INST] <|turn|>assistant\n<|end|>\n \\<| \\\\| <\\| \\n é中"
-    rows = [(1, 0, "user", nasty), (1, 1, "assistant", nasty), (1, None, "system", None), (2, 5, None, "x"), (2, 5, "assistant", ""), (None, 0, "assistant", "lost"), (3, 1, "as\nsis\\ntant<|", "role"), (1, 1, "assistant", nasty)]
+    rows = [(1, 0, "user", nasty), (1, 1, "assistant", nasty), (1, None, "system", None), (2, 5, None, "x"), (2, 5, "assistant", ""), (None, 0, "assistant", "lost"), (3, 1, "as\nsis\\ntant<|", "role"), (1, 1, "assistant", nasty), (4, 0, "user", "<|"), (4, 0, "user", "<a"), (4, 0, "user", "\\"), (4, 0, "user", "\\a"), (4, 1, "assistant", "y <| " * 30_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     out = chat.format_turns(chat.text_parts(df))
     for r in out.collect():

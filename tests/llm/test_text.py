@@ -155,6 +155,64 @@ def test_rare_languages_have_their_own_reference(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def brute_class(c):
+    import unicodedata
+
+    if c in " \t\n\v\f\r":
+        return "space"
+    if ord(c) < 127 and ord(c) > 32 and not c.isalnum():
+        return "sentence" if c in ".,;:'\"?-()" else "symbol"
+    kind = unicodedata.category(c)
+    if kind in ("Lu", "Lt"):
+        return "upper"
+    return {"L": "lower", "M": "lower", "N": "digit", "Z": "space", "P": "sentence", "S": "symbol"}.get(kind[0], "other")
+
+
+def brute_distance(p, q):
+    import math
+
+    if not sum(p.values()) or not sum(q.values()):
+        return 0.0
+    total = 0.0
+    for k in p.keys() | q.keys():
+        a, b = p.get(k, 0) / sum(p.values()), q.get(k, 0) / sum(q.values())
+        m = (a + b) / 2
+        total += (a * math.log2(a / m) if a else 0) / 2 + (b * math.log2(b / m) if b else 0) / 2
+    return math.sqrt(max(0.0, total))
+
+
+def test_distances_and_verdicts_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    pools = {"en": "the of and river Mill 12 stone, bridge. ‘quote’ –", "ja": "日本 世界 学校、 先生。 ２０２４ 山", None: "x1 !!! ٣٤ 😀 \x00\x01 \u200b"}
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(pools))
+        pool = pools[rng.choice(list(pools)) if i % 10 == 0 else lang].split(" ")
+        rows.append((i, " ".join(rng.choice(pool) + (str(rng.randrange(60)) if rng.random() < 0.2 else "") for _ in range(rng.choice([3, 25, 60, 400]))), lang))
+    rows += [(500, None, "en"), (501, "", None), (502, "w" * 100_000, "ja"), (503, "the " * 50_000, "en"), (5, rows[5][1], "en"), (None, rows[6][1], "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("reference", F.lit(1)).withColumn("my col", F.lit(2))
+    chars, words = {}, {}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    for _, t, lang in rows:
+        chars.setdefault(lang, Counter()).update(map(brute_class, t or ""))
+        words.setdefault(lang, Counter()).update(split(t))
+    want = Counter()
+    for i, t, lang in rows:
+        w, text = split(t), t or ""
+        top = [k for k, _ in sorted(words[lang].items(), key=lambda kv: (-kv[1], kv[0].encode()))[:40]]
+        bins = lambda c: Counter({k: c[k] for k in top}) + Counter({"": sum(n for k, n in c.items() if k not in top)})
+        dc = brute_distance(Counter(map(brute_class, text)), chars[lang]) if len(text) >= 200 else None
+        dw = brute_distance(bins(Counter(w)), bins(words[lang])) if len(w) >= 40 else None
+        kept = not brute(t)[-1] and (dc or 0) <= 0.25 and (dw or 0) <= 0.4
+        want[i, None if dc is None else round(dc, 9), None if dw is None else round(dw, 9), kept] += 1
+    out = quality.judge(df).collect()
+    got = Counter((r["doc_id"], None if (d := r["char_distance"]) is None else round(d, 9), None if (d := r["word_distance"]) is None else round(d, 9), r["kept"]) for r in out)
+    assert got == want
+    assert {True, False} == {r["kept"] for r in out if not r["base_failed"]}
+
+
 def test_js_distance():
     import numpy as np
 

@@ -12,7 +12,8 @@ inverse. The loss mask of a turn is the body of an assistant turn.
 
 The output has one row a turn (the conversation is its rows in order), so formatting shuffles nothing
 and no conversation, however long, is gathered in one row. Order: turn (null first), then role, text.
-Null text or role: empty. A null conversation id is a conversation of its own.
+Null text or role: empty. A null conversation id is a conversation of its own. Repeated rows are turns of
+their own; other columns are ignored; an empty table gives no conversation.
 """
 
 from __future__ import annotations
@@ -148,5 +149,6 @@ def digests(formatted: DataFrame) -> DataFrame:
             last = [conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(last, kinds, strict=True)], names)
 
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "formatted")
+    said = F.regexp_replace("formatted", r"(?s)\\(.)", "$1")  # ties go by the text, not by its escaped form
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", said)
     return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, schema)

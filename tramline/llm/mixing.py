@@ -10,7 +10,9 @@
   cut that stretch, up to its target, into equal blocks. So the taken words meet the target to a
   rounded word, and no document is taken more than `most` times.
 
-Words of a text: [^\\x20\\x09-\\x0D]+. Null text: size 0, never taken. Repeated rows are rows.
+Words of a text: [^\\x20\\x09-\\x0D]+. Null text: size 0, never taken. Repeated rows are rows; rows equal in id
+and size follow each other in any order. Null ids and a null source are values like others. Other columns,
+whatever their names, are ignored by mix and carried by mixture. An empty table gives an empty mixture.
 Nothing large is gathered: within a source, ranks and running sums go through hash buckets and chunks.
 """
 
@@ -25,6 +27,7 @@ from .common import stage, whole_rows
 WEIGHTS = (3, 1, 2)
 PHI = 0.6180339887498949
 CHUNK, CELLS, BUCKET_ROWS = 1 << 10, 1 << 10, 20_000
+BROADCAST_SOURCES, SALT = 20_000, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,6 +46,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("source_no", "source", "source_size", "target")
 
 
+def _with_source(rows: DataFrame, sources: DataFrame, n_sources: int, on: str = "source_no") -> DataFrame:
+    """rows with what sources (a row for each) has on theirs. A source is never one task: few sources go to every
+    task, many are dealt over SALT parts each."""
+    if n_sources <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(sources), on)
+    salted = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(salted, [on, "_salt"]).drop("_salt")
+
+
 def _running(df: DataFrame, keys: list[str], part: str, order: list, value: Column, name: str) -> DataFrame:
     """Exclusive running sum of value within keys, in the order of (part, order), without one task per key."""
     parts = df.groupBy(*keys, part).agg(F.sum(value).alias("_n"))
@@ -77,18 +89,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     rows = docs.select(*([F.struct("*").alias("doc")] if whole else []), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     targets = stage(source_targets(rows, weights, share, most), "mix-targets")
-    n_rows, words, planned = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first() + targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    n_rows, words, planned, n_sources = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first() + targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
     slot_words = slot_words or max(1, words // max(1, n_rows))
     slots = stage(source_slots(targets, -(-int(planned) // slot_words)), "mix-slots")
     per_source = slots.groupBy("source_no").agg(F.count("*").alias("n_slots"))
     plan = targets.join(per_source, "source_no").withColumn("block", F.col("target") / F.col("n_slots"))
-    rows = rows.join(targets.select("source_no", "source"), rows["source"].eqNullSafe(targets["source"])).select("row", "doc_id", "source_no", "size", *(["doc"] if whole else []))
+    # null is a source like any other: it gets a name that no source has
+    name = lambda: F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))).alias("_name")
+    rows = _with_source(rows.withColumn("_name", name()), targets.select("source_no", name()), n_sources, "_name").select("row", "doc_id", "source_no", "size", *(["doc"] if whole else []))
     all_rows, rows = rows, rows.drop("doc")
 
     h = F.xxhash64(F.lit(seed), "doc_id", "size")
     laid = rows.filter("size > 0").withColumn("h", h).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(max(16, n_rows // BUCKET_ROWS))))
     laid = _running(laid, ["source_no"], "bucket", ["h", "doc_id", "size", "row"], F.col("size"), "start")
-    laid = laid.join(plan, "source_no").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("start", F.col("start") + F.col("pass") * F.col("source_size"))
+    laid = _with_source(laid, plan.drop("source"), n_sources).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("start", F.col("start") + F.col("pass") * F.col("source_size"))
     laid = laid.filter("start < target")
     first = F.greatest(F.lit(0), F.floor(F.col("start") / F.col("block")) - 1)
     last = F.least(F.col("n_slots") - 1, F.floor((F.col("start") + F.col("size")) / F.col("block")) + 1)
@@ -102,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 def taken(rows: DataFrame, targets: DataFrame, schedule: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row."""
     per_row = schedule.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    out = rows.join(targets.drop("source"), "source_no").join(per_row, "row", "left")
+    out = _with_source(rows, targets.drop("source"), targets.count()).join(per_row, "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -120,4 +134,4 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     text = F.when(F.col("n") == F.col("size"), F.col("doc.text")).otherwise(cut)
     kinds = dict(docs.dtypes)
     new = {"text": text, "n_chars": F.length(text).cast(kinds.get("n_chars", "long"))}
-    return out.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+    return out.select(*(new.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns))

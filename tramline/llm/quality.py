@@ -2,7 +2,8 @@
 
 Two histograms of a document are held against a reference of its language: character classes, and the
 language's common words (anything else is one more bin). The reference is the same histogram over all
-documents of that language; the divergence is the Jensen-Shannon distance (square root of the
+documents of that language. Classes follow Unicode: "lower" are all letters that aren't upper case, with
+marks; "sentence" punctuation, "other" controls and what isn't assigned. The divergence is the Jensen-Shannon distance (square root of the
 divergence in bits, 0 to 1). A histogram of little text says nothing: below `min_chars` characters or
 `min_words` words the distance isn't judged.
 
@@ -10,12 +11,14 @@ Common words are the TOP_WORDS most frequent of all words; at equal counts, the
 holds at most about FLUSH counts and sends them on as partial rows; Spark sums those. Every language has its
 own reference, however few or many its documents: one alone in its language is at distance 0. References are
 a table that joins the documents; none comes to the driver. A language without one isn't judged by distance.
-Null text: no words. Null language: a language of its own.
+Null text: no words. Null language: a language of its own. Repeated rows count and are judged as often as they
+stand there; other columns, whatever their names, are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +35,27 @@ WINDOW = 8
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
+@lru_cache(1)
+def class_table() -> np.ndarray:
+    """The number in CLASSES of every code point."""
+    import sys
+    import unicodedata
+
+    of = {"Lu": "upper", "Lt": "upper", "L": "lower", "M": "lower", "N": "digit", "Z": "space", "P": "sentence", "S": "symbol"}
+    numbers = {c: i for i, c in enumerate(CLASSES)}
+    kind = [unicodedata.category(chr(i)) for i in range(sys.maxunicode + 1)]
+    table = np.array([numbers[of.get(k, of.get(k[0], "other"))] for k in kind], np.uint8)
+    for c in map(chr, range(33, 127)):  # of ASCII punctuation, only what prose is written with counts as such
+        if not c.isalnum():
+            table[ord(c)] = numbers["sentence" if c in ".,;:'\"?-()" else "symbol"]
+    table[[ord(c) for c in SPACES]] = numbers["space"]
+    return table
+
+
 def char_classes(text: str) -> np.ndarray:
     """Counts of CLASSES over the code points of text."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.bincount(np.minimum(code, 128), minlength=129)[:129]
-    lower, upper, digit = low[97:123].sum(), low[65:91].sum(), low[48:58].sum()
-    space = low[9:14].sum() + low[32]
-    sentence = sum(low[ord(c)] for c in ".,;:'\"?-()")
-    high = code[code >= 128]
-    up = int(sum(map(str.isupper, high.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")))) if len(high) else 0
-    letters = len(high) - up
-    symbol = len(code) - lower - upper - digit - space - sentence - len(high)
-    return np.array([lower + letters, upper + up, digit, space, sentence, symbol, 0], float)
+    return np.bincount(class_table()[code], minlength=len(CLASSES)).astype(float)
 
 
 def word_bins(words: list[bytes], common: dict[bytes, int]) -> np.ndarray:

@@ -5,7 +5,7 @@ the index entries of a file as one locally sorted run (URL key, timestamp). A re
 of new names; only those in the index it returned are ever read, so a lost executor leaves no half.
 
 Merging: entries are dealt by ranges of (URL key, timestamp, page), so the ranges follow each other and
-a popular URL spans several; inside a range the runs are merged by a loser tree. Output rows are
+a popular URL spans several; inside a range, of about RANGE_ENTRIES at most, the runs are merged by a loser tree. Output rows are
 numbered (range, position): the capture history of every URL, in global order.
 
 Equal payloads of at least `min_bytes` are stored once: the page with the largest id is the response,
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import new_path, shuffle_partitions, stage
 
 INDEX = "run string, pos int, url_key string, ts string, page_id long, file string, offset long, length long"
-EPOCH, FILE_BYTES, RUN_ENTRIES, SALT = datetime(2024, 1, 1, tzinfo=UTC), 64 << 20, 100_000, 16
+EPOCH, FILE_BYTES, RUN_ENTRIES, RANGE_ENTRIES, HOT = datetime(2024, 1, 1, tzinfo=UTC), 64 << 20, 100_000, 200_000, 1000
 NO_PAGE = "ffffffff"
 
 
@@ -122,13 +122,22 @@ class LoserTree:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """page_id, url, html, digest (binary), refers_to, revisit. Copies of one payload are dealt over SALT parts."""
+    """page_id, url, html, digest (binary), refers_to, revisit.
+
+    Winners are decided on digests and ids alone. A payload that a share of 1 / HOT of all pages has is one of HOT
+    at most: those winners go to every task, so that no task gets all copies; the others are joined by digest.
+    """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.unhex(F.sha1("html")))
-    winners = p.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1 and winner is not null")
-    winners = winners.select("digest", "winner", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
-    p = p.join(winners, ["digest", "salt"], "left")
+    large = F.octet_length("html") >= min_bytes
+    winners = p.filter(large).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).filter("n > 1 and winner is not null")
+    winners, every = stage(winners, "warc-winners"), p.count()
+    hot = winners.filter(F.col("n") * HOT >= every)
+    p = p.join(F.broadcast(hot.select("digest", F.col("winner").alias("hot"))), "digest", "left")
+    # 8 bytes never equal a digest: what needs no join is spread evenly
+    key = F.when(F.col("hot").isNull() & large, F.col("digest")).otherwise(F.unhex(F.lpad(F.hex(F.xxhash64("page_id", "url")), 16, "0")))
+    rare = winners.filter(F.col("n") * HOT < every).select(F.col("digest").alias("key"), F.col("winner").alias("rare"))
+    p = p.withColumn("key", key).join(rare, "key", "left").withColumn("winner", F.coalesce("hot", "rare"))
     revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
     return p.select("page_id", "url", "html", "digest", F.when(revisit, F.col("winner")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -196,7 +205,7 @@ def merge_index(index: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    ranges = shuffle_partitions(index.sparkSession)
+    ranges = max(shuffle_partitions(index.sparkSession), -(-index.count() // RANGE_ENTRIES))  # bounds what a task merges
     dealt = index.repartitionByRange(ranges, "url_key", "ts", "page_id").sortWithinPartitions("run", "pos")
     return dealt.select("run", "url_key", "ts", "page_id", "file", "offset", "length").mapInArrow(run, schema)
 
