@@ -29,9 +29,11 @@ def test_components(spark, seed):
     nodes = {x for e in edges for x in e}
     df = spark.createDataFrame(edges, "a int, b int")
     both = reach(edges + [(b, a) for a, b in edges], nodes)
-    assert {r["node"]: r["component"] for r in network.weak_components(df).collect()} == {n: min(both[n]) for n in nodes}
+    for local in (network.LOCAL_EDGES, 0):
+        assert {r["node"]: r["component"] for r in network.weak_components(df, local_edges=local).collect()} == {n: min(both[n]) for n in nodes}
     go = reach(edges, nodes)
-    assert {r["node"]: r["component"] for r in network.strong_components(df).collect()} == {n: min(m for m in go[n] if n in go[m]) for n in nodes}
+    for local in (network.LOCAL_EDGES, 5, 0):
+        assert {r["node"]: r["component"] for r in network.strong_components(df, local).collect()} == {n: min(m for m in go[n] if n in go[m]) for n in nodes}
 
 
 def test_rings_are_anchored(spark):
@@ -117,6 +119,37 @@ def test_movements_of_a_junction_of_two_signals(spark, rows):
     assert rows(internal) == [("a", "ab"), ("a", "mb")]
 
 
+def test_components_of_a_long_cycle():
+    n = 50_000  # deeper than any recursion
+    a, b = list(range(n)), [*range(1, n), 0]
+    assert set(network._strong(a, b).values()) == {0} and set(network._weak(a, b).values()) == {0}
+    assert network._strong(a[:-1], b[:-1]) == {i: i for i in range(n)}
+
+
+def test_cells_of_a_long_link(spark):
+    p = spark.createDataFrame([(0.0, 0.0, 100_000.0, 100_000.0), (5.0, 90_000.0, 5.0, -3.0), (7.0, 7.0, 7.0, 7.0)], "ax double, ay double, bx double, by double")
+    got = p.select("ax", spatial._segment_cells(*(F.col(c) for c in ("ax", "ay", "bx", "by")), 100.0).alias("c")).groupBy("ax").count().collect()
+    assert all(r["count"] < 7000 for r in got) and len(got) == 3
+
+
+def test_nearest_links_equal_brute_force(spark):
+    rng = random.Random(3)
+    nodes = [(i, rng.uniform(-900, 900), rng.uniform(-900, 900)) for i in range(60)]
+    links = [(i, rng.randrange(60), rng.randrange(60)) for i in range(80)]
+    points = [(i, rng.uniform(-900, 900), rng.uniform(-900, 900)) for i in range(40)]
+    df = lambda rows, names: spark.createDataFrame(rows, names)
+    got = spatial.nearest_links(df(points, "point_id long, x double, y double"), df(links, "link_id long, from_id long, to_id long"), df(nodes, "node_id long, x double, y double"), 3, 150.0)
+
+    def away(p, k):
+        (ax, ay), (bx, by) = nodes[k[1]][1:], nodes[k[2]][1:]
+        size = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0.0, min(1.0, ((p[1] - ax) * (bx - ax) + (p[2] - ay) * (by - ay)) / size)) if size else 0.0
+        return ((ax + t * (bx - ax) - p[1]) ** 2 + (ay + t * (by - ay) - p[2]) ** 2) ** 0.5
+
+    want = {(p[0], k) for p in points for d, k in sorted((away(p, k), k[0]) for k in links)[:3] if d <= 150.0}
+    assert {(r["point_id"], r["link_id"]) for r in got.collect()} == want and want
+
+
 def test_lane_rules(spark):
     lanes = spark.createDataFrame([("L", "a", ["M"], [], "900", "1", 1), ("L", "a", [], [], "x", "1", 1), ("N", None, ["Z"], [], "1", "1", 2), ("N", "b", ["M"], [], "1", "1", 3)], "link_id string, lane_id string, to_links array<string>, to_lanes array<string>, capacity string, starts_at string, assignment int")
     links = spark.createDataFrame([("L",), ("M",)], "link_id string")

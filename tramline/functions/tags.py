@@ -172,9 +172,10 @@ def turn_lane_cells(value: Column) -> Column:
 
 
 def dedicated_lanes(tags: Column, kind: str, direction: str) -> Column:
-    """Lanes marked designated or yes in <kind>:lanes:<direction>, else <kind>:lanes."""
-    v = F.coalesce(tags[f"{kind}:lanes:{direction}"], tags[f"{kind}:lanes"])
-    return F.coalesce(F.size(F.filter(F.split(v, r"\|"), lambda c: F.trim(c).isin("designated", "yes"))), F.lit(0))
+    """The number in <kind>:lanes:<direction>, else <kind>:lanes, or how many of its cells are designated or yes."""
+    v = F.coalesce(*(F.when(F.trim(tags[k]) != "", tags[k]) for k in (f"{kind}:lanes:{direction}", f"{kind}:lanes")))
+    cells = F.size(F.filter(F.split(v, r"\|"), lambda c: F.trim(c).isin("designated", "yes"))).cast("double")
+    return F.coalesce(F.trim(v).try_cast("double"), cells, F.lit(0.0))
 
 
 def lane_signature(tags: Column, direction: str) -> Column:

@@ -14,6 +14,7 @@ from ..functions.ids import child_stop_id
 from ..functions.tags import TRANSIT_MODES, mode_compatible
 from .staging import stage
 
+COMPACT = 8  # rounds after which the states seen so far are one table again
 MAX_SEQUENCE = 4  # longest forbidden sequence that is enforced
 # Length, capacity, speed and lanes of a connector, and the length of a loop.
 CONNECTOR = {"length": 50.0, "capacity": 900.0, "freespeed": 13.9, "lanes": 1.0}
@@ -42,7 +43,7 @@ def paths(pairs: DataFrame, links: DataFrame, forbidden: DataFrame | None = None
         rules = rules.groupBy("next").agg(F.collect_list(F.struct("shut", "rule_mode")).alias("rules"))
     keys = ["from_link", "to_link", "mode"]
     done = stage(same.limit(0), "path-done")
-    settled = stage(front.select(*keys, "node", F.col("path").alias("window"), "cost"), "path-settled")
+    settled, rounds = front.select(*keys, "node", F.col("path").alias("window"), "cost"), 0
     while not front.isEmpty():
         ahead = front.join(step, "node").filter(mode_compatible(F.col("modes"), F.col("mode"))).withColumn("cost", F.col("cost") + F.col("length")).filter(F.col("cost") <= max_distance)
         ahead = ahead.withColumn("path", F.concat("path", F.array("next")))
@@ -58,7 +59,10 @@ def paths(pairs: DataFrame, links: DataFrame, forbidden: DataFrame | None = None
         best = go.groupBy(*keys, "node", "window").agg(F.min(F.struct("cost", "path")).alias("best"), F.first("modes_of").alias("modes_of")).select(*keys, "node", "window", "best.cost", "best.path", "modes_of")
         seen = settled.groupBy(*keys, "node", "window").agg(F.min("cost").alias("old"))
         best = stage(best.join(seen, [*keys, "node", "window"], "left").filter("old is null or cost < old").drop("old"), "path-best")
-        settled = stage(settled.unionByName(best.select(*keys, "node", "window", "cost")), "path-settled")
+        rounds += 1
+        settled = settled.unionByName(best.select(*keys, "node", "window", "cost"))
+        if rounds % COMPACT == 0:
+            settled = stage(settled.groupBy(*keys, "node", "window").agg(F.min("cost").alias("cost")), "path-settled")
         front = best.select(*keys, "node", "modes_of", "cost", "path")
     return same.unionByName(done)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import drop, stage
 
 ARTIFICIAL = "pt_"
 
@@ -69,9 +69,83 @@ def invalid_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return resolve_ends(links, nodes).filter(~F.col("link_id").cast("string").startswith(ARTIFICIAL) & ~sound).select("link_id")
 
 
-def weak_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component: the least node connected to it. Minimum labels with pointer jumping, a table a round."""
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+LOCAL_EDGES = 500_000  # a graph, or the rest of one, of so many edges at most is finished in one task
+
+
+def _in_one_task(edges: DataFrame, solve) -> DataFrame:
+    """solve(list of a, list of b) -> {node: component} over few edges (a, b)."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = solve(pdf["a"].tolist(), pdf["b"].tolist())
+        return pd.DataFrame({"node": list(found), "component": list(found.values())}, dtype=pdf["a"].dtype)
+
+    kind = dict(edges.dtypes)["a"]
+    return edges.select("a", "b").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, f"node {kind}, component {kind}")
+
+
+def _weak(a: list, b: list) -> dict:
+    up: dict = {}
+
+    def find(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(up)}
+
+
+def _strong(a: list, b: list) -> dict:
+    """Components by two depth-first passes: finishing order forward, then trees against the edges."""
+    ahead: dict = {}
+    behind: dict = {}
+    for x, y in zip(a, b, strict=True):
+        ahead.setdefault(x, []).append(y)
+        behind.setdefault(y, []).append(x)
+    order, seen = [], set()
+    for root in ahead.keys() | behind.keys():
+        if root not in seen:
+            seen.add(root)
+            todo = [(root, iter(ahead.get(root, ())))]
+            while todo:
+                x, rest = todo[-1]
+                for y in rest:
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append((y, iter(ahead.get(y, ()))))
+                        break
+                else:
+                    order.append(x)
+                    todo.pop()
+    out: dict = {}
+    for root in reversed(order):
+        if root not in out:
+            out[root] = root
+            tree, todo = [root], [root]
+            while todo:
+                for y in behind.get(todo.pop(), ()):
+                    if y not in out:
+                        out[y] = root
+                        tree.append(y)
+                        todo.append(y)
+            least = min(tree)
+            for x in tree:
+                out[x] = least
+    return out
+
+
+def weak_components(edges: DataFrame, a: str = "a", b: str = "b", local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """node, component: the least node connected to it.
+
+    Minimum labels with pointer jumping, a table a round; up to local_edges, in one task.
+    """
+    e = stage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "edges")
+    if e.count() <= local_edges:
+        return _in_one_task(e, _weak)
     both = stage(e.union(e.select("b", "a")).filter("a <> b").distinct(), "edges")
     loops = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = stage(loops.join(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")), "node", "left").select("node", F.least("node", F.coalesce("m", F.col("node"))).alias("component")), "labels")
@@ -80,16 +154,21 @@ def weak_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         met = labels.join(seen, "node", "left").select("node", "component", F.least("component", F.coalesce("seen", F.col("component"))).alias("met"))
         jump = labels.select(F.col("node").alias("met"), F.col("component").alias("far"))
         new = stage(met.join(jump, "met", "left").select("node", F.least("met", F.coalesce("far", F.col("met"))).alias("component"), F.col("component").alias("old")), "labels")
-        labels = new.select("node", "component")
-        if new.filter("component <> old").limit(1).count() == 0:
-            return labels
+        changed = new.filter("component <> old").limit(1).count()
+        drop(labels)
+        labels = new
+        if not changed:
+            drop(both)
+            return labels.select("node", "component")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, component of directed edges (a, b): the least node of its strongly connected component.
 
     Colouring: nodes that no cycle can pass are trimmed; the least node that reaches each is found by
-    forward propagation; those it is reached from inside its colour are its component and leave.
+    forward propagation; those it is reached from inside its colour are its component and leave. A rest of
+    local_edges at most is finished in one task. Rounds of a larger one go a hop each, so they grow with the
+    longest way to a least node; a round keeps only its frontier.
     """
     left = stage(edges.select("a", "b").distinct(), "scc-edges")
     nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -100,42 +179,49 @@ def strong_components(edges: DataFrame) -> DataFrame:
         rows = stage(rows.select("node", "component"), "scc-done")
         out = rows if out is None else out.unionByName(rows)
 
+    def inner(ends: DataFrame) -> DataFrame:
+        """Edges between the nodes of ends, in place of left's."""
+        keep = lambda c: ends.select(F.col("node").alias(c))
+        got = stage(left.join(keep("a"), "a", "left_semi").join(keep("b"), "b", "left_semi"), "scc-edges")
+        drop(left)
+        return got
+
     rest = stage(nodes, "scc-nodes")
-    while not rest.isEmpty():
-        while True:  # trim
-            inner = left.filter("a <> b")
-            good = rest.join(inner.select(F.col("a").alias("node")).distinct(), "node", "left_semi").join(inner.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
-            gone = stage(rest.join(good, "node", "left_anti"), "scc-trim")
-            if gone.isEmpty():
-                break
+    while True:
+        if left.count() <= local_edges:
+            found = stage(_in_one_task(left, _strong), "scc-done")
+            settle(rest.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+            return out
+        # trim
+        real = left.filter("a <> b")
+        good = rest.join(real.select(F.col("a").alias("node")).distinct(), "node", "left_semi").join(real.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+        good = stage(good, "scc-nodes")
+        gone = stage(rest.join(good, "node", "left_anti"), "scc-trim")
+        if not gone.isEmpty():
             settle(gone.withColumn("component", F.col("node")))
-            rest = stage(good, "scc-nodes")
-            keep = lambda c: rest.select(F.col("node").alias(c))  # noqa: B023, E731
-            left = stage(left.join(keep("a"), "a", "left_semi").join(keep("b"), "b", "left_semi"), "scc-edges")
-        if rest.isEmpty():
-            break
-        colour = stage(rest.withColumn("colour", F.col("node")), "scc-colour")
-        while True:
-            got = left.join(colour, left["a"] == colour["node"]).groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("in"))
-            new = stage(colour.join(got, "node", "left").select("node", F.least("colour", F.coalesce("in", F.col("colour"))).alias("colour"), F.col("colour").alias("old")), "scc-colour")
-            colour = new.select("node", "colour")
-            if new.filter("colour <> old").limit(1).count() == 0:
-                break
+            drop(rest)
+            rest = good
+            left = inner(rest)
+            continue
+        colour = front = stage(rest.withColumn("colour", F.col("node")), "scc-colour")
+        while not front.isEmpty():  # only those that changed push their colour on
+            got = left.join(front, left["a"] == front["node"]).groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("in"))
+            new = stage(colour.join(got, "node", "left").select("node", F.least("colour", F.coalesce("in", F.col("colour"))).alias("colour"), F.coalesce(F.col("in") < F.col("colour"), F.lit(False)).alias("moved")), "scc-colour")
+            if colour is not front:
+                drop(colour)
+            colour, front = new, new.filter("moved").select("node", "colour")
+        colour = colour.select("node", "colour")
         ends = left.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b")
         inside = stage(ends.filter("ca = cb").select("a", "b", F.col("ca").alias("colour")), "scc-inside")
-        found = stage(colour.filter("node = colour"), "scc-found")
-        front = found
-        while True:
+        found = front = stage(colour.filter("node = colour"), "scc-found")
+        while not front.isEmpty():
             back = inside.join(front.select(F.col("node").alias("b"), "colour"), ["b", "colour"]).select(F.col("a").alias("node"), "colour").distinct()
             front = stage(back.join(found, ["node", "colour"], "left_anti"), "scc-front")
-            if front.isEmpty():
-                break
-            found = stage(found.unionByName(front), "scc-found")
+            found = found.unionByName(front)
+        drop(inside)
         settle(found.withColumnRenamed("colour", "component"))
         rest = stage(rest.join(found, "node", "left_anti"), "scc-nodes")
-        keep = lambda c: rest.select(F.col("node").alias(c))  # noqa: B023, E731
-        left = stage(left.join(keep("a"), "a", "left_semi").join(keep("b"), "b", "left_semi"), "scc-edges")
-    return out if out is not None else nodes.withColumn("component", F.col("node"))
+        left = inner(rest)
 
 
 def largest_strong_links(links: DataFrame) -> DataFrame:
@@ -148,7 +234,7 @@ def largest_strong_links(links: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(best), "component", "left_semi").select("link_id")  # one row
 
 
-def clean(nodes: DataFrame, links: DataFrame, routable: list[str]) -> dict[str, DataFrame]:
+def clean(nodes: DataFrame, links: DataFrame, routable: list[str], source_ways: DataFrame | None = None) -> dict[str, DataFrame]:
     """nodes, links, invalid (link_id), quarantined (link_id, group) of a cleaned network.
 
     Invalid links go first. Of the links that allow a routable mode, those inside no such mode's largest
@@ -167,6 +253,8 @@ def clean(nodes: DataFrame, links: DataFrame, routable: list[str]) -> dict[str,
     lost = left.join(gone, "link_id", "left_semi")
     groups = weak_components(lost, "from_id", "to_id")
     quarantined = lost.join(groups, lost["from_id"] == groups["node"]).select("link_id", F.col("component").alias("group"))
+    if source_ways is not None:  # link_id, way_id: what a quarantined link was built from
+        quarantined = quarantined.join(source_ways.groupBy("link_id").agg(F.array_sort(F.collect_set("way_id")).alias("ways")), "link_id", "left")
     final = stage(left.join(gone, "link_id", "left_anti"), "clean-links")
     used = final.select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct()
     return {"nodes": nodes.join(used, "node_id", "left_semi"), "links": final, "invalid": invalid, "quarantined": quarantined}
@@ -254,6 +342,15 @@ def cap_length(chain_rows: DataFrame, cap: float) -> DataFrame:
     return rows.groupBy("chain").applyInPandas(walk, "node_id string").distinct()
 
 
+def repeated_spans(chain_rows: DataFrame) -> DataFrame:
+    """way_id, n of the spans that a way runs along more than once in one direction: all but one of them go."""
+    whole = chain_rows.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("pos", "tail", "head", "way_id", "length"))).alias("p")).filter(F.aggregate("p", F.lit(0.0), lambda t, x: t + x["length"]) > 0)
+    first, last = F.get("p", F.lit(0)), F.element_at("p", -1)
+    way = F.when(first["tail"] <= last["head"], first["way_id"]).otherwise(last["way_id"])
+    path = F.concat(F.array(first["tail"]), F.transform("p", lambda x: x["head"]))
+    return whole.groupBy(way.alias("way_id"), path.alias("path")).agg((F.count("*") - 1).alias("n")).filter("n > 0").select("way_id", "n")
+
+
 def contracted_links(chain_rows: DataFrame) -> DataFrame:
     """One link a chain: link_id, from_id, to_id, length, freespeed, lanes, capacity, modes, way_id, n_segments, ways, path.
 

@@ -269,11 +269,12 @@ def controlled_modes(pairs: DataFrame, forbidden: DataFrame) -> DataFrame:
 # --- lanes ------------------------------------------------------------------------------------------
 
 
-def lane_table(links: DataFrame, nodes: DataFrame, resolved: DataFrame, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def lane_table(links: DataFrame, nodes: DataFrame, resolved: DataFrame, classify=turn_class) -> tuple[DataFrame, DataFrame]:
     """(lanes, issues). lanes: link_id, lane_id, lane_index, to_links, capacity, confidence, merge, raw, shared.
 
     links: link_id, from_id, to_id, way_id, forward. resolved: resolve_ways. A lane takes the exits of its
-    turn indications (sharp ones fall back on plain ones), all exits if it says nothing usable.
+    turn indications (sharp ones fall back on plain ones), all exits if it says nothing usable. classify names the
+    turn from one heading into another.
     """
     w = resolved.select("way_id", "tags", "one_way", "rule_capacity", "fwd_count", "bwd_count")
     at = links.join(w, "way_id", "left")
@@ -291,7 +292,7 @@ def lane_table(links: DataFrame, nodes: DataFrame, resolved: DataFrame, points:
     vec = links.join(ends.select(F.col("node_id").alias("from_id"), F.col("x").alias("fx"), F.col("y").alias("fy")), "from_id").join(ends.select(F.col("node_id").alias("to_id"), F.col("x").alias("tx"), F.col("y").alias("ty")), "to_id")
     vec = vec.select("link_id", "from_id", "to_id", (F.col("tx") - F.col("fx")).alias("vx"), (F.col("ty") - F.col("fy")).alias("vy"))
     out = vec.select(F.col("from_id").alias("to_id"), F.col("link_id").alias("out_link"), F.col("vx").alias("ox"), F.col("vy").alias("oy"))
-    turns = vec.join(out, "to_id").withColumn("turn", turn_class(F.col("vx"), F.col("vy"), F.col("ox"), F.col("oy")))
+    turns = vec.join(out, "to_id").withColumn("turn", classify(F.col("vx"), F.col("vy"), F.col("ox"), F.col("oy")))
     exits = turns.groupBy("link_id").agg(F.array_sort(F.collect_list(F.struct("out_link", "turn"))).alias("exits"))
     at = at.join(exits, "link_id", "left")
     issues = issues.unionByName(issue(at.filter("exits is null"), "lane-no-outgoing"))
@@ -332,7 +333,3 @@ def lane_cycles(lane_to_lane: DataFrame, rounds: int = 64) -> DataFrame:
         jump = stage(jump.join(far, ["link_id", "next"], "left").select("link_id", "lane_id", F.col("far").alias("next")), "lanes")
         step, rounds = step * 2, rounds - 1
     return jump.filter("next is not null").select("link_id", F.col("next").alias("lane_id")).distinct()
-
-
-def path_length(points: Column) -> Column:
-    return polyline_length(points)

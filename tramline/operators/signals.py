@@ -119,15 +119,15 @@ def provenance(primary: Column, size: Column, tags: Column) -> Column:
     return F.concat(F.lit("osm_node="), primary, F.lit(";clusterSize="), size.cast("string"), F.lit(";tag="), tag)
 
 
-def junctions(moves: DataFrame, links: DataFrame, clusters: DataFrame, witnesses: DataFrame, headings: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def junctions(moves: DataFrame, links: DataFrame, clusters: DataFrame, witnesses: DataFrame, headings: DataFrame, nodes: DataFrame, classify=movement_type) -> tuple[DataFrame, DataFrame]:
     """(movements of junctions with type; one descriptor a junction).
 
     moves: cluster_movements. headings: link_id, vx, vy. nodes: node_id, tags of the map. A movement that arrives at
-    one node and leaves another has no angle. A descriptor has the junction's members, approaches, exits and internal
+    one node and leaves another has no angle; classify names the turn of two headings. A descriptor has the junction's members, approaches, exits and internal
     links in order, counts legal and prohibited movements and joins the modes they control.
     """
     h = lambda link, a, b: headings.select(F.col("link_id").alias(link), F.col("vx").alias(a), F.col("vy").alias(b))
-    kind = F.when(F.col("via") != F.col("via_out"), "unknown").otherwise(movement_type(F.col("ix"), F.col("iy"), F.col("ox"), F.col("oy")))
+    kind = F.when(F.col("via") != F.col("via_out"), "unknown").otherwise(classify(F.col("ix"), F.col("iy"), F.col("ox"), F.col("oy")))
     m = moves.join(h("from_link", "ix", "iy"), "from_link", "left").join(h("to_link", "ox", "oy"), "to_link", "left")
     m = m.select("cluster", "via", "via_out", "from_link", "to_link", kind.alias("type"), "controlled", "restricted", "legal")
     legal = F.size("legal") > 0

@@ -25,6 +25,20 @@ def _cell(x: Column, y: Column, reach: float) -> Column:
     return F.struct(F.floor(x / reach).alias("i"), F.floor(y / reach).alias("j"))
 
 
+def _segment_cells(ax: Column, ay: Column, bx: Column, by: Column, reach: float) -> Column:
+    """Cells within reach of a segment, column by column along it: as many as it is long, not as its box is large."""
+    at = lambda v: F.floor(v / reach).cast("long")
+    lo, hi = F.least(ax, bx), F.greatest(ax, bx)
+    y = lambda x: F.when(ax == bx, ay).otherwise(ay + (by - ay) * (x - ax) / F.nullif(bx - ax, F.lit(0.0)))
+
+    def column(i: Column) -> Column:
+        x0, x1 = F.greatest(lo, F.least(hi, (i - 1) * reach)), F.least(hi, F.greatest(lo, (i + 2) * reach))
+        y0, y1 = F.when(ax == bx, F.least(ay, by)).otherwise(F.least(y(x0), y(x1))), F.when(ax == bx, F.greatest(ay, by)).otherwise(F.greatest(y(x0), y(x1)))
+        return F.transform(F.sequence(at(y0 - reach), at(y1 + reach)), lambda j: F.struct(i.alias("i"), j.alias("j")))
+
+    return F.explode(F.flatten(F.transform(F.sequence(at(lo - reach), at(hi + reach)), column)))
+
+
 def nearest_links(points: DataFrame, links: DataFrame, nodes: DataFrame, n: int, radius: float) -> DataFrame:
     """points with link_id, link_distance, link_x, link_y, fraction, link_rank of the n nearest links within radius.
 
@@ -35,7 +49,7 @@ def nearest_links(points: DataFrame, links: DataFrame, nodes: DataFrame, n: int,
     stored = resolve_ends(links.select("link_id", "from_id", "to_id"), nodes).filter("has_from and has_to")
     c = {k: F.col(k).cast("double") for k in ("from_x", "from_y", "to_x", "to_y")}
     stored = stored.select("link_id", *(v.alias(k) for k, v in c.items()))
-    stored = stored.withColumn("cell", _cells(F.least("from_x", "to_x"), F.least("from_y", "to_y"), F.greatest("from_x", "to_x"), F.greatest("from_y", "to_y"), radius))
+    stored = stored.withColumn("cell", _segment_cells(*(F.col(k) for k in ("from_x", "from_y", "to_x", "to_y")), radius))
     q = points.withColumn("cell", _cell(F.col("x"), F.col("y"), radius))
     at = to_segment(F.col("x").cast("double"), F.col("y").cast("double"), *(F.col(k) for k in ("from_x", "from_y", "to_x", "to_y")))
     near = q.join(stored, "cell").withColumn("at", at).filter(F.col("at.distance") <= radius)
@@ -64,6 +78,26 @@ LINK_THRESHOLD, DISTANCE_MULTIPLIER = 10, 4.0
 WEIGHTS = {"distance": 1.0, "mode": 0.8, "name": 0.5}
 
 
+class NetworkIndex:
+    """The spatial and lane lookups of one network together; each takes and gives DataFrames."""
+
+    def __init__(self, nodes: DataFrame, links: DataFrame, stops: DataFrame | None = None, lane_hints: DataFrame | None = None):
+        self.nodes, self.links, self.stops, self.lane_hints = nodes, links, stops, lane_hints
+
+    def nearest_links(self, points: DataFrame, n: int, radius: float = 100.0) -> DataFrame:
+        return nearest_links(points, self.links, self.nodes, n, radius)
+
+    def nearest_nodes(self, points: DataFrame, n: int, radius: float = 100.0) -> DataFrame:
+        return nearest_nodes(points, self.nodes, n, radius)
+
+    def stops_near(self, points: DataFrame, radius: float = 100.0) -> DataFrame:
+        return stops_near(points, self.stops, radius)
+
+    def hints_of(self, links: DataFrame) -> DataFrame:
+        """Lane hints of the links (link_id) that have one."""
+        return self.lane_hints.join(links.select("link_id"), "link_id", "left_semi")
+
+
 def stop_candidates(stops: DataFrame, links: DataFrame, nodes: DataFrame, radius: float, n: int = int(LINK_THRESHOLD * DISTANCE_MULTIPLIER * 2), weights: dict | None = None) -> DataFrame:
     """point_id, mode, link_id, link_distance, score, candidate_rank.
 

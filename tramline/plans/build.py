@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calendar, mapping, network, roads, signals, spatial, timetable, validate
+from ..operators import calendar, lanes, mapping, network, roads, signals, spatial, timetable, validate
 from ..operators.staging import stage
 
 
@@ -34,8 +34,15 @@ def road_network(tables: dict[str, DataFrame], config: roads.RoadConfig = roads.
         if config.max_length > 0:
             routing = stage(routing.unionByName(network.cap_length(network.chains(segs, network.anchor_cycles(segs, routing)), config.max_length)).distinct(), "routing")
         routing = stage(network.anchor_cycles(segs, routing), "routing")
-        links = network.contracted_links(network.chains(segs, routing))
+        spans = stage(network.chains(segs, routing), "chains")
+        links = network.contracted_links(spans)
     links = stage(links, "links")
+    if not config.keep_geometry_nodes:
+        ends = links.select(F.explode(F.array("from_id", "to_id")).alias("at")).distinct()
+        lonely = routing.join(ends, F.concat(F.lit("osm_node_"), "node_id") == F.col("at"), "left_anti")
+        none = F.lit(None).cast("string")
+        issues = issues.unionByName(network.repeated_spans(spans).select(F.lit("degenerate-span").alias("code"), "way_id", F.col("n").cast("string").alias("message")))
+        issues = issues.unionByName(lonely.select(F.lit("isolated-routing-node").alias("code"), none.alias("way_id"), F.col("node_id").alias("message")))
     used = links.select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct()
     places = nodes.select(F.concat(F.lit("osm_node_"), "node_id").alias("node_id"), "x", "y").join(used, "node_id", "left_semi")
     graph = segs.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
@@ -49,6 +56,14 @@ def road_network(tables: dict[str, DataFrame], config: roads.RoadConfig = roads.
     return out
 
 
+def provenance(source: str, licence: str, attribution: str, input_name: str, crs: str, geometry: str, tags_kept: bool, imported_at: str) -> dict[str, str]:
+    """The attributes that tell where a network comes from."""
+    return {
+        "osm:source": source, "osm:license": licence, "osm:attribution": attribution, "osm:input": input_name, "osm:targetCrs": crs, "osm:geometryMode": geometry,
+        "osm:rawTagsKept": str(tags_kept).lower(), "osm:importedAt": imported_at,
+    }
+
+
 def signal_ready(tables: dict[str, DataFrame], config: roads.RoadConfig = roads.DEFAULT, threshold: float = 0.0) -> dict[str, DataFrame]:
     """road_network with stops kept, plus restrictions, lanes, movements, junctions and their readiness."""
     out = road_network(tables, config, roads.stop_nodes(tables["nodes"]))
@@ -57,6 +72,7 @@ def signal_ready(tables: dict[str, DataFrame], config: roads.RoadConfig = roads.
     out["forbidden"] = forbidden
     out["restriction_issues"] = problems
     out["lanes"], out["lane_issues"] = roads.lane_table(links, nodes, out["resolved"])
+    out["lane_hints"] = lanes.lane_hints(links, out["resolved"])
     out["restrictions_by_pair"] = roads.restriction_index(forbidden)
     ident = F.concat(F.lit("osm_node_"), "node_id").alias("node_id")
     lit = tables["nodes"].filter(roads.T.is_signalized(F.col("tags"))).select(ident).join(nodes.select("node_id"), "node_id", "left_semi")
@@ -68,6 +84,8 @@ def signal_ready(tables: dict[str, DataFrame], config: roads.RoadConfig = roads.
     at = links.join(ends.select(F.col("node_id").alias("from_id"), F.col("x").alias("fx"), F.col("y").alias("fy")), "from_id").join(ends.select(F.col("node_id").alias("to_id"), F.col("x").alias("tx"), F.col("y").alias("ty")), "to_id")
     headings = at.select("link_id", (F.col("tx") - F.col("fx")).alias("vx"), (F.col("ty") - F.col("fy")).alias("vy"))
     found, described = signals.junctions(moves, links, clusters, witnesses, headings, tables["nodes"].select(ident, "tags"))
+    signals_at = tables["nodes"].filter(F.col("tags")["highway"] == "traffic_signals").select(ident)
+    out["intersection_hints"] = lanes.intersection_hints(nodes, links, out["lane_hints"], signals_at)
     out["movements"], out["junctions"] = found, stage(described, "junctions")
     turn_lanes = F.size(F.filter(F.map_keys("tags"), lambda k: k.startswith("turn:lanes"))) > 0
     on_lanes = links.select("link_id", F.explode("ways").alias("way_id")).join(out["resolved"].filter(turn_lanes).select("way_id"), "way_id", "left_semi").select("link_id").distinct()
@@ -76,6 +94,19 @@ def signal_ready(tables: dict[str, DataFrame], config: roads.RoadConfig = roads.
     return out
 
 
+def feeds(spark: SparkSession, paths: list[str], dates: str = "most_trips", explicit: str | None = None) -> dict[str, DataFrame]:
+    """The schedule of several feeds: each feed's ids begin with its own id, made from its name; types of vehicles are shared."""
+    from ..functions.ids import unique_feed_ids
+    from ..sources import timetable_csv
+
+    names = unique_feed_ids([p.rstrip("/").rsplit("/", 1)[-1].removesuffix(".zip").removesuffix(".gtfs") for p in paths])
+    each = [schedule(timetable_csv.feed(spark, p), name, dates, explicit) for name, p in zip(names, paths, strict=True)]
+    out = each[0]
+    for more in each[1:]:
+        out = {k: v.unionByName(more[k], allowMissingColumns=True) for k, v in out.items()}
+    return out | {k: out[k].distinct() for k in ("vehicle_types", "dates")}
+
+
 def schedule(feed: dict[str, DataFrame], feed_id: str = "feed", dates: str = "most_trips", explicit: str | None = None) -> dict[str, DataFrame]:
     """stop_facilities, lines, routes, route_stops, departures, vehicle types and vehicles of a feed on the chosen days."""
     spark = feed["trips"].sparkSession
@@ -142,11 +173,11 @@ def bundle(spark: SparkSession, roadmap: str, timetable_path: str, folder: str,
     net = signal_ready(maps.read(spark, roadmap, crs), config)
     out = mapped(net, schedule(timetable_csv.feed(spark, timetable_path), dates=dates), projector(crs)[0])
     out = {k: stage(v, k) for k, v in out.items()}
-    lanes = stage(net["lanes"], "lanes")
+    lane_rows = stage(net["lanes"], "lanes")
     xml_files.network(out, f"{folder}/network.xml")
     xml_files.schedule(out, f"{folder}/schedule.xml")
     xml_files.vehicles(out, f"{folder}/vehicles.xml")
-    xml_files.lanes(lanes, f"{folder}/lanes.xml")
+    xml_files.lanes(lane_rows, f"{folder}/lanes.xml")
     xml_files.geojson(out["stop_facilities"], f"{folder}/stops.geojson")
     issues = validate.network_issues(out["nodes"], out["links"], loop_info_prefix="pt_loop_")
-    return {k: out[k].count() for k in ("nodes", "links", "lines", "routes", "departures", "vehicles")} | {"lanes": lanes.count(), "errors": issues.filter("severity = 'error'").count()}
+    return {k: out[k].count() for k in ("nodes", "links", "lines", "routes", "departures", "vehicles")} | {"lanes": lane_rows.count(), "errors": issues.filter("severity = 'error'").count()}

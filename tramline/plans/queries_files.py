@@ -12,7 +12,8 @@ from ..operators import facilities as places
 from ..operators.staging import scratch
 from ..sinks import xml_files as sinks
 from ..sources import lane_files, roadmap, scenario_xml, timetable_csv
-from ..streaming import events
+from ..streaming import events, persons
+from . import build
 from .queries import ORACLE, QUERIES, joined, links, query
 
 
@@ -72,16 +73,31 @@ def attributes_round_trip(r):
 @query("""SELECT CAST(person_id AS VARCHAR) AS person_id, CAST(plan_idx AS INT) AS plan_idx, CAST(ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY pos) - 1 AS INT) AS pos, kind, CASE WHEN kind = 'leg' THEN mode END AS mode, CASE WHEN kind = 'activity' THEN 'type' || pos % 4 END AS act_type,
   CASE WHEN kind = 'activity' THEN CAST(pos * 60 AS DOUBLE) END AS start_time, person_id % 4 <> 0 AS selected, CASE WHEN kind = 'leg' AND pos % 2 = 0 THEN 'network' END AS route_type, CASE WHEN kind = 'leg' AND pos % 2 = 0 THEN 'l' || pos || ' m' || person_id END AS route FROM {d_elements}""")
 def population_round_trip(r):
+    spark, folder = written_population(r)
+    got = scenario_xml.population(spark, f"{folder}/population.xml")
+    out = got["elements"].join(got["plans"].select("person_id", "plan_idx", "selected"), ["person_id", "plan_idx"])
+    return out.select("person_id", "plan_idx", "pos", "kind", "mode", "act_type", "start_time", "selected", F.col("route.route_type").alias("route_type"), F.array_join("route.links", " ").alias("route"))
+
+
+def written_population(r) -> tuple[SparkSession, str]:
     e = r("d_elements").select(text("person_id").alias("person_id"), "plan_idx", "pos", "kind", "mode", F.concat(F.lit("type"), (F.col("pos") % 4).cast("string")).alias("act_type"), (F.col("pos") * 60).cast("double").alias("start_time"))
     none = F.lit(None)
     route = F.struct(F.lit("network").alias("route_type"), F.lit("a").alias("start_link"), F.lit("b").alias("end_link"), F.lit(90.0).alias("travel_time"), F.lit(7.5).alias("distance"), F.concat(F.lit("l"), text("pos"), F.lit(" m"), "person_id").alias("text"))
     e = e.withColumns({c: none.cast("string") for c in ("link_id", "facility_id")} | {c: none.cast("double") for c in ("x", "y", "end_time", "max_dur")}).withColumn("route", F.when(F.col("pos") % 2 == 0, route))
     plans = e.select("person_id", "plan_idx").distinct().withColumn("selected", F.col("person_id").cast("long") % 4 != 0)
-    path = f"{folder_for(e)}/population.xml"
-    sinks.population({"persons": e.select("person_id").distinct(), "plans": plans, "elements": e}, path)
-    got = scenario_xml.population(e.sparkSession, path)
-    out = got["elements"].join(got["plans"].select("person_id", "plan_idx", "selected"), ["person_id", "plan_idx"])
-    return out.select("person_id", "plan_idx", "pos", "kind", "mode", "act_type", "start_time", "selected", F.col("route.route_type").alias("route_type"), F.array_join("route.links", " ").alias("route"))
+    folder = folder_for(e)
+    sinks.population({"persons": e.select("person_id").distinct(), "plans": plans, "elements": e}, f"{folder}/population.xml")
+    return e.sparkSession, folder
+
+
+@query("SELECT CAST(person_id AS VARCHAR) AS person_id, kind, COUNT(*) AS n, CAST(MAX(CASE WHEN kind = 'activity' THEN 0.0 END) AS DOUBLE) AS x FROM {d_elements} GROUP BY 1, 2")
+def persons_stream(r):
+    """Each batch of persons goes to a handler, which appends it to a table."""
+    spark, folder = written_population(r)
+    out = scratch(spark, "persons")
+    q = persons.dispatch(persons.stream(spark, folder), lambda df: df.select("person_id", "kind", "x").write.mode("append").parquet(f"{out}/rows"), f"{out}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("person_id", "kind").agg(F.count("*").alias("n"), F.max("x").alias("x"))
 
 
 @query("SELECT CAST(c_nationkey AS VARCHAR) AS household_id, CAST(c_nationkey * 1000 AS VARCHAR) AS income, CAST(ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS pos, CAST(c_custkey AS VARCHAR) AS person_id FROM customer")
@@ -357,3 +373,58 @@ def geojson_round_trip(r):
     point = "struct<type:string,geometry:struct<type:string,coordinates:array<double>>,properties:struct<stop_id:string,name:string>>"
     f = s.sparkSession.read.schema(f"features array<{point}>").option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     return f.select("f.properties.stop_id", "f.properties.name", F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"))
+
+
+@query("SELECT 's.xml' AS systems, CAST(NULL AS VARCHAR) AS \"groups\", 'c2.xml' AS control, CAST(NULL AS VARCHAR) AS amber, CAST(NULL AS VARCHAR) AS intergreen, CAST(NULL AS VARCHAR) AS handler, '7' AS \"offset\"")
+def signal_config(r):
+    spark = r("nation").sparkSession
+    rows = spark.createDataFrame([("signals", -1, None, "signalSystemsPath", "s.xml"), ("signals", -1, None, "signalControlPath", "c.xml"), ("signals", -1, None, "handler", "h"), ("other", -1, None, "offset", "9")], "module string, set_idx int, set_type string, name string, value string")
+    return scenario_xml.signal_config(scenario_xml.with_signal_config(rows, control="c2.xml", handler=None, offset="7"))
+
+
+@query("SELECT * FROM (VALUES ('osm:source', 'map'), ('osm:license', 'open <1>'), ('osm:attribution', 'a & b'), ('osm:input', 'x.osm'), ('osm:targetCrs', 'EPSG:3857'), ('osm:geometryMode', 'contracted'), ('osm:rawTagsKept', 'false'), ('osm:importedAt', '2024-01-01T00:00:00Z')) AS t(name, val)")
+def network_provenance(r):
+    t, about = network_tables(r), build.provenance("map", "open <1>", "a & b", "x.osm", "EPSG:3857", "contracted", False, "2024-01-01T00:00:00Z")
+    path = f"{folder_for(t['nodes'])}/network.xml"
+    sinks.network(t, path, about=about)
+    return scenario_xml.network_attributes(t["nodes"].sparkSession, path).select("name", "val")
+
+
+@query("SELECT 'lanes.cycle' AS code, 'l' || s_suppkey || '/' || k AS object_id FROM supplier, (VALUES ('1'), ('2')) AS t(k) WHERE s_suppkey % 3 = 0")
+def lane_file_cycles(r):
+    """Lanes of two links that lead into each other, for every third supplier; else into a lane that leads on."""
+    k, n = F.col("s_suppkey"), text("s_suppkey")
+    lane = lambda i, to: F.struct(F.lit(str(i)).alias("lane_id"), to.alias("to_lanes"), F.lit(i).alias("lane_index"))
+    none = F.array().cast("array<string>")
+    pairs = F.array(lane(1, F.array(F.lit("2"))), lane(2, F.when(k % 3 == 0, F.array(F.lit("1"))).otherwise(F.array(F.lit("3")))), lane(3, none))
+    rows = r("supplier").select(F.concat(F.lit("l"), n).alias("link_id"), F.explode(pairs).alias("x")).select("link_id", "x.*", F.lit("900").alias("capacity"))
+    rows = rows.withColumn("to_links", F.when(F.size("to_lanes") == 0, F.array(F.lit("l1"))).otherwise(none))
+    path = f"{folder_for(rows)}/lanes.xml"
+    sinks.lanes(rows, path)
+    got = lane_files.read(rows.sparkSession, path)
+    return got["issues"].filter("code = 'lanes.cycle'").select("code", "object_id")
+
+
+@query("SELECT feed || ':T' || k AS trip, feed || ':R' || k % 3 AS line_id, CAST(28800 + k * 60 AS INT) AS departure_time FROM (VALUES ('a_b'), ('a_b-2')) AS f(feed), (SELECT n_nationkey AS k FROM nation) AS n")
+def feeds_schedule(r):
+    """Two feeds of one name: trips of 25 on three lines, every day of January."""
+    n, k = r("nation"), F.col("n_nationkey")
+    spark, paths = n.sparkSession, []
+    for at in ("x", "y"):
+        folder = f"{folder_for(n)}/{at}/a b"
+        paths.append(folder)
+        trip = F.concat(F.lit("T"), text("n_nationkey"))
+        clock = lambda s: F.format_string("%02d:%02d:00", F.floor(s / 60).cast("int"), (s % 60).cast("int"))
+        calls = n.select(trip.alias("trip_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("stop_sequence"), (k + 480).alias("m"))
+        calls = calls.select("trip_id", F.concat(F.lit("S"), text("stop_sequence")).alias("stop_id"), "stop_sequence", clock(F.col("m") + F.col("stop_sequence")).alias("arrival_time"), clock(F.col("m") + F.col("stop_sequence")).alias("departure_time"))
+        files = {
+            "trips": n.select(trip.alias("trip_id"), F.concat(F.lit("R"), (k % 3).cast("string")).alias("route_id"), F.lit("D").alias("service_id")), "stop_times": calls,
+            "routes": n.select(F.concat(F.lit("R"), (k % 3).cast("string")).alias("route_id"), F.lit("r").alias("route_short_name"), F.lit("3").alias("route_type")).distinct(),
+            "stops": calls.select("stop_id", F.lit("1.5").alias("stop_lat"), F.lit("2.5").alias("stop_lon")).distinct(),
+            "calendar": spark.createDataFrame([("D", *["1"] * 7, "20240101", "20240131")], "service_id string, monday string, tuesday string, wednesday string, thursday string, friday string, saturday string, sunday string, start_date string, end_date string"),
+        }
+        for name, df in files.items():
+            df.write.option("header", True).csv(f"{folder}/{name}.txt")
+    got = build.feeds(spark, paths, "explicit", "20240110")["departures"]
+    trip = F.regexp_extract("departure_id", "^([^:]*:[^:]*):", 1)
+    return got.select(trip.alias("trip"), "line_id", "departure_time")

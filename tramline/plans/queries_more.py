@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, ids, tags, times
-from ..operators import calendar, mapping, network, roads, signals, spatial, timetable, validate
+from ..operators import calendar, lanes, mapping, network, roads, signals, spatial, timetable, validate
 from ..operators.staging import stage
 from .queries import joined, links, query, triangles, way_tags
 
@@ -112,7 +112,7 @@ def lane_cycles(r):
     return roads.lane_cycles(rows)
 
 
-@query("SELECT way_id, CAST(CASE way_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INT) AS n FROM {d_tags}")
+@query("SELECT way_id, CAST(CASE way_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS DOUBLE) AS n FROM {d_tags}")
 def dedicated_lanes(r):
     k = F.col("way_id")
     m = F.when(k % 4 == 0, F.create_map(F.lit("bus:lanes"), F.lit("designated| yes |no"))).when(k % 4 == 1, F.create_map(F.lit("bus:lanes:forward"), F.lit("yes|none"), F.lit("bus:lanes"), F.lit("yes|yes"))).otherwise(F.create_map(F.lit("lanes"), F.lit("2")))
@@ -363,3 +363,46 @@ def ids_decomposed(r):
 def ranked_dates(r):
     counts = r("orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.count("*").alias("trips"))
     return calendar.rank_dates(counts, "trips")
+
+
+# --- lane hints, lookups, streams of persons, where a network comes from -----------------------------------
+
+
+def hinted(r) -> tuple[DataFrame, DataFrame]:
+    """(d_links as links of way link id in forward direction, lane hints of those on a car road)."""
+    k = links(r).select(text("link_id").alias("link_id"), text("from_id").alias("from_id"), text("to_id").alias("to_id"), "lanes", F.col("link_id").alias("way_id"), F.lit(True).alias("forward"), "modes")
+    i = F.col("way_id") % 3
+    tag = F.when(i == 0, F.create_map(F.lit("bus:lanes:forward"), F.lit("designated|yes|no"), F.lit("turn:lanes"), F.lit("left|right"))).when(i == 1, F.create_map(F.lit("psv:lanes"), F.lit(" 2 "), F.lit("turn:lanes:forward"), F.lit(" "))).otherwise(F.create_map(F.lit("bus"), F.lit("designated")))
+    count = lambda n: F.struct(n.alias("lanes"))
+    ways = r("d_tags").filter("highway is not null").select("way_id", tag.alias("tags"), count((F.col("way_id") % 4 + 1).cast("int")).alias("fwd_count"), count(F.lit(1)).alias("bwd_count"))
+    return k, lanes.lane_hints(k, ways)
+
+
+HINTS = "+ h AS (SELECT CAST(way_id AS VARCHAR) AS link_id, way_id, CAST(way_id % 4 + 1 AS DOUBLE) AS total_lanes, CASE WHEN way_id % 3 = 0 THEN 2.0 ELSE 0.0 END AS bus_lanes, CASE WHEN way_id % 3 = 1 THEN 2.0 ELSE 0.0 END AS psv_lanes, CASE WHEN way_id % 3 = 0 THEN 'left|right' END AS turn_lanes FROM {d_tags} WHERE highway IS NOT NULL) "
+
+
+@query(HINTS + "SELECT link_id, way_id, total_lanes, CAST(bus_lanes AS DOUBLE) AS bus_lanes, CAST(psv_lanes AS DOUBLE) AS psv_lanes, turn_lanes, TRUE AS dedicated FROM h")
+def lane_hints(r):
+    return hinted(r)[1].select("link_id", "way_id", "total_lanes", "bus_lanes", "psv_lanes", "turn_lanes", "dedicated")
+
+
+@query(HINTS + """, i AS (SELECT l.to_id AS node_id, string_agg(CAST(l.link_id AS VARCHAR) || '=' || CAST(COALESCE(total_lanes, lanes) AS INT), ',' ORDER BY CAST(l.link_id AS VARCHAR)) AS approaches, COUNT(turn_lanes) AS n_turn_lanes FROM {d_links} l LEFT JOIN h ON h.way_id = l.link_id GROUP BY 1), o AS (SELECT from_id AS node_id, COUNT(*) AS n_out FROM {d_links} GROUP BY 1)
+  SELECT CAST(n.node_id AS VARCHAR) AS node_id, COALESCE(approaches, '') AS approaches, CAST(COALESCE(n_turn_lanes, 0) AS INT) AS n_turn_lanes, CAST(COALESCE(n_out, 0) AS INT) AS n_out, n.node_id % 5 = 0 AS traffic_signal FROM {d_nodes} n LEFT JOIN i USING (node_id) LEFT JOIN o USING (node_id) WHERE i.node_id IS NOT NULL OR o.node_id IS NOT NULL""")
+def intersection_hints(r):
+    k, hints = hinted(r)
+    nodes = r("d_nodes").select(text("node_id").alias("node_id"))
+    out = lanes.intersection_hints(nodes, k, hints, nodes.filter("node_id % 5 = 0"))
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("approach_lanes")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("int").cast("string"))), ",")
+    return out.select("node_id", pairs.alias("approaches"), F.size("turn_lanes").alias("n_turn_lanes"), F.size("outgoing").alias("n_out"), "traffic_signal")
+
+
+@query(HINTS + "SELECT link_id, total_lanes FROM h WHERE way_id % 10 = 1")
+def lane_hint_lookup(r):
+    k, hints = hinted(r)
+    index = spatial.NetworkIndex(r("d_nodes"), k, lane_hints=hints)
+    return index.hints_of(k.filter("way_id % 10 = 1")).select("link_id", "total_lanes")
+
+
+@query("""+ d AS (SELECT s.point_id, n.node_id, sqrt(CAST((s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y) AS DOUBLE)) AS dist FROM {d_stops} s, {d_nodes} n WHERE abs(s.x - n.x) <= 400 AND abs(s.y - n.y) <= 400), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY dist, node_id) AS k FROM d WHERE dist <= 400) SELECT point_id, node_id FROM k WHERE k <= 3""")
+def network_index(r):
+    return spatial.NetworkIndex(r("d_nodes"), links(r)).nearest_nodes(r("d_stops").select("point_id", "x", "y"), 3, 400.0).select("point_id", "node_id")

@@ -84,10 +84,12 @@ def link_text(k: DataFrame) -> Column:
     return element("link", {"id": F.col("link_id"), "from": F.col("from_id"), "to": F.col("to_id"), "length": F.col("length"), "freespeed": F.col("freespeed"), "capacity": F.col("capacity"), "permlanes": F.col("lanes"), "modes": F.array_join(F.array_sort("modes"), ",")}, bag(of(k, "attrs")))
 
 
-def network(t: dict[str, DataFrame], path: str, cap_period: str | None = None, doctype: str = "") -> None:
+def network(t: dict[str, DataFrame], path: str, cap_period: str | None = None, doctype: str = "", about: dict[str, str] | None = None) -> None:
+    """about: attributes of the network itself, such as build.provenance."""
     n, k = t["nodes"], t["links"]
     links = f'<links capperiod="{cap_period}">' if cap_period else "<links>"
-    write_file(path, "network", ["<nodes>", lines(n, ["node_id"], node_text(n)), "</nodes>", links, lines(k, ["link_id"], link_text(k)), "</links>"], doctype=doctype)
+    one = n.sparkSession.range(1).select(bag(F.map_from_entries(F.array(*(F.struct(F.lit(a).alias("key"), F.struct(F.lit("java.lang.String").alias("cls"), F.lit(v).alias("val")).alias("value")) for a, v in about.items())))).alias("t")).first()[0] if about else None
+    write_file(path, "network", [*([one] if one else []), "<nodes>", lines(n, ["node_id"], node_text(n)), "</nodes>", links, lines(k, ["link_id"], link_text(k)), "</links>"], doctype=doctype)
 
 
 def population(t: dict[str, DataFrame], path: str, doctype: str = "") -> None:

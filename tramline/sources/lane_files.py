@@ -13,6 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lanes as lane_graph
 from ..operators import validate
 from . import scenario_xml
 
@@ -20,7 +21,7 @@ HEAD_BYTES = 64 << 10
 V2, V1, MODEL = "v2.0", "v1.1", "model-1.0"
 
 
-def _head(path: str) -> str:
+def head(path: str) -> str:
     from pyarrow.fs import FileSystem
 
     fs, at = FileSystem.from_uri(path if "://" in path else f"file://{path}")
@@ -30,8 +31,8 @@ def _head(path: str) -> str:
 
 def root_of(path: str) -> tuple[str, str]:
     """(local name, start tag) of the root element, past declaration, comments and DOCTYPE."""
-    head = re.sub(r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>", "", _head(path))
-    m = re.search(r"<([\w:.-]+)[^>]*>", head)
+    text = re.sub(r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>", "", head(path))
+    m = re.search(r"<([\w:.-]+)[^>]*>", text)
     return (m[1].rpartition(":")[2], m[0]) if m else ("", "")
 
 
@@ -41,6 +42,10 @@ def hint(tag: str) -> str | None:
     return {"2.0": V2, "1.1": V1}.get(".".join(x for x in m.groups() if x)) if m else None
 
 
+def cycle_issues(lanes: DataFrame) -> DataFrame:
+    return validate.issue(lane_graph.cycles_of(lanes), validate.ERROR, "lanes", "lanes.cycle", F.concat_ws("/", "link_id", "lane_id"))
+
+
 def _model(spark: SparkSession, path: str) -> DataFrame:
     lane = "_id string, _toLinkIds string, _toLaneIds string, _capacity string, _startsAt string, _alignment string"
     a = scenario_xml.scan(spark, path, "assignment", f"_linkId string, _linkIdRef string, lane array<struct<{lane.replace(' string', ':string')}>>").withColumn("assignment", F.monotonically_increasing_id())
@@ -62,6 +67,8 @@ def read(spark: SparkSession, path: str, links: DataFrame | None = None) -> dict
     def end(state, dialect=None, code=None, lanes=None):
         lanes = rows.limit(0) if lanes is None else lanes
         issues = validate.lane_issues(lanes, links) if state == "present" else validate.issue(spark.range(1), validate.ERROR, "lanes", code, F.lit(None), name)
+        if state == "present":
+            issues = issues.unionByName(cycle_issues(lanes))
         if state == "present" and not issues.filter("severity = 'error'").isEmpty():
             state = "invalid"
         return {"state": state, "dialect": dialect, "lanes": lanes, "issues": issues}
@@ -86,4 +93,4 @@ def read_bundle(spark: SparkSession, path: str) -> dict:
     lanes = scenario_xml.lanes(spark, path)
     if blocks > 1:
         return out | {"lanes": lanes.limit(0), "lane_issues": validate.issue(spark.range(1), validate.ERROR, "lanes", "lanes.competing_blocks", F.lit(None))}
-    return out | {"lanes": lanes, "lane_issues": validate.lane_issues(lanes, net["links"])}
+    return out | {"lanes": lanes, "lane_issues": validate.lane_issues(lanes, net["links"]).unionByName(cycle_issues(lanes))}

@@ -55,12 +55,39 @@ def network(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 ELEMENT = r"(?s)<(activity|act|leg)\b[^>]*?(?:/>|(?<!/)>.*?</\1>)"
 
 
+def network_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """name, cls, val of the network's own attributes, which stand before its nodes; the file's beginning is read."""
+    import re
+    from html import unescape as plain
+
+    from .lane_files import head
+
+    start = re.search(r"(?s)<network\b[^>]*>(.*?)<(?:nodes|links)\b", head(path))
+    block = re.search(r"(?s)<attributes>(.*?)</attributes>", start[1]) if start else None
+    found = re.findall(r'(?s)<attribute\b[^>]*?name="([^"]*)"[^>]*?class="([^"]*)"[^>]*>(.*?)</attribute>', block[1]) if block else []
+    return spark.createDataFrame([tuple(map(plain, f)) for f in found], "name string, cls string, val string")
+
+
+PERSON = f"_id string, {ATTRIBUTES}, plan array<struct<_selected:string,_score:string,_type:string>>"
+PLAN_TEXT = "_id string, plan array<string>"
+
+
 def population(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """persons, plans, elements. Plans are read as inner text too, since activities and legs interleave."""
-    p = scan(spark, path, "person", f"_id string, {ATTRIBUTES}, plan array<struct<_selected:string,_score:string,_type:string>>")
-    raw = scan(spark, path, "person", "_id string, plan array<string>").select(F.col("_id").alias("person_id"), F.posexplode("plan").alias("plan_idx", "inner"))
+    p = scan(spark, path, "person", PERSON)
+    plans, elements = plans_of(p), plan_elements(scan(spark, path, "person", PLAN_TEXT))
+    return {"persons": p.select(F.col("_id").alias("person_id"), attrs().alias("attrs")), "plans": plans, "elements": elements}
+
+
+def plans_of(p: DataFrame) -> DataFrame:
+    """person_id, plan_idx, selected, type, score of scanned persons."""
     plans = p.select(F.col("_id").alias("person_id"), F.posexplode("plan").alias("plan_idx", "q"))
-    plans = plans.select("person_id", "plan_idx", F.coalesce(F.lower("q._selected").isin("yes", "true"), F.lit(False)).alias("selected"), F.col("q._type").alias("type"), F.col("q._score").try_cast("double").alias("score"))
+    return plans.select("person_id", "plan_idx", F.coalesce(F.lower("q._selected").isin("yes", "true"), F.lit(False)).alias("selected"), F.col("q._type").alias("type"), F.col("q._score").try_cast("double").alias("score"))
+
+
+def plan_elements(scanned: DataFrame) -> DataFrame:
+    """person_id, plan_idx, pos, kind, ... of persons scanned with their plans' inner text, batch or stream."""
+    raw = scanned.select(F.col("_id").alias("person_id"), F.posexplode("plan").alias("plan_idx", "inner"))
     e = raw.select("person_id", "plan_idx", F.posexplode(F.regexp_extract_all("inner", F.lit(ELEMENT), F.lit(0))).alias("pos", "x"))
     head = F.regexp_extract("x", r"(?s)^<[^>]*>", 0)
     at = lambda *names: F.coalesce(*(F.when(F.regexp_extract(head, rf'\b{n}\s*=\s*"([^"]*)"', 1) != "", unescape(F.regexp_extract(head, rf'\b{n}\s*=\s*"([^"]*)"', 1))) for n in names))
@@ -69,12 +96,11 @@ def population(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     body = F.trim(unescape(F.regexp_replace(F.regexp_extract(route, r"(?s)^<route\b[^>]*>(.*)</route>", 1), "<[^>]*>", "")))
     kind = of_route("type")
     route_type = F.when(route == "", F.lit(None)).when(kind.isin("links", "network") | (kind.isNull() & of_route("start_link").isNotNull() & (body != "")), "network").when(kind.isin("default_pt", "pt", "experimentalPt1"), "transit").otherwise("unknown")
-    elements = e.select(
+    return e.select(
         "person_id", "plan_idx", "pos", F.when(F.col("x").startswith("<leg"), "leg").otherwise("activity").alias("kind"), at("type").alias("act_type"), at("x").try_cast("double").alias("x"), at("y").try_cast("double").alias("y"),
         at("link").alias("link_id"), at("facility").alias("facility_id"), clock_or_seconds(at("start_time")).alias("start_time"), clock_or_seconds(at("end_time")).alias("end_time"), at("maximumDuration").try_cast("double").alias("max_dur"), at("mode").alias("mode"),
         F.when(route != "", F.struct(route_type.alias("route_type"), of_route("start_link").alias("start_link"), of_route("end_link").alias("end_link"), F.filter(F.split(body, r"\s+"), lambda v: v != "").alias("links"), clock_or_seconds(of_route("trav_time")).alias("travel_time"), of_route("distance").try_cast("double").alias("distance"), body.alias("text"))).alias("route"),
     )
-    return {"persons": p.select(F.col("_id").alias("person_id"), attrs().alias("attrs")), "plans": plans, "elements": elements}
 
 
 def schedule(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -206,6 +232,24 @@ def signals(spark: SparkSession, systems: str | None = None, groups: str | None
     return out
 
 
+#: Parameters of the signals module of a config.
+SIGNAL_PARAMETERS = {"systems": "signalSystemsPath", "groups": "signalGroupsPath", "control": "signalControlPath", "amber": "signalAmberTimesPath", "intergreen": "signalIntergreenTimesPath", "handler": "handler", "offset": "offset"}
+
+
+def signal_config(rows: DataFrame) -> DataFrame:
+    """One row: the parameters of the signals module of a config by our names, null if not set."""
+    own = rows.filter("module = 'signals' and set_idx = -1")
+    return own.agg(*(F.max_by(F.when(F.col("name") == p, F.col("value")), F.when(F.col("name") == p, F.lit(1))).alias(k) for k, p in SIGNAL_PARAMETERS.items()))
+
+
+def with_signal_config(rows: DataFrame, **values: str | None) -> DataFrame:
+    """A config with parameters of the signals module set, or removed if None."""
+    named = {SIGNAL_PARAMETERS[k]: v for k, v in values.items()}
+    kept = rows.filter(~((F.col("module") == "signals") & (F.col("set_idx") == -1) & F.col("name").isin(*named)))
+    new = [("signals", -1, None, k, v) for k, v in named.items() if v is not None]
+    return kept.unionByName(rows.sparkSession.createDataFrame(new, "module string, set_idx int, set_type string, name string, value string"))
+
+
 #: Config module and parameter that name each input file.
 INPUT_FILES = {"network": ("network", "inputNetworkFile"), "population": ("plans", "inputPlansFile"), "schedule": ("transit", "transitScheduleFile"), "vehicles": ("transit", "vehiclesFile"), "facilities": ("facilities", "inputFacilitiesFile"), "households": ("households", "inputFile"), "lanes": ("network", "laneDefinitionsFile")}
 
