@@ -134,14 +134,14 @@ class WordHash(dict):
         return h
 
 
-def window_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k consecutive words (uint64), order-sensitive."""
+def window_hashes(word_hashes: np.ndarray, k: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hash of every run of k consecutive words (uint64), order-sensitive; another odd factor gives another hash."""
     n = len(word_hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     acc = np.zeros(n, np.uint64)
     for i in range(k):
-        acc = acc * np.uint64(0x9E3779B97F4A7C15) + word_hashes[i : i + n]
+        acc = acc * np.uint64(factor) + word_hashes[i : i + n]
         acc ^= acc >> np.uint64(29)
     return mix64(acc)
 

@@ -9,7 +9,8 @@
    id. Extents of neighbouring anchors that meet are one match.
 3. Maximal repeats. What can't be extended further is a maximal repeat; those of at least SPAN words go.
 
-A window is known by 128 bits of hash: 64 are exchanged as the key, 64 more go with it and decide. Windows
+A window is known by 128 bits, two hashes of the hashes of its words: one is exchanged as the key, the other
+goes with it and decides. Windows
 are judged on the input. Words: [^\\x20\\x09-\\x0D]+, unchanged. Null text: no words. A null id counts as the
 largest: its document never takes words from another. Rows of one id don't take from each other. Hashes,
 not pairs, are exchanged, so a passage in every document costs each document its own words once. Other
@@ -33,6 +34,7 @@ from . import chunks
 from .common import documents, drop_stage, mix64, split_words, stage, whole_rows, window_hashes
 
 SPAN, SEED = 13, 7
+OTHER = 0xD6E8FEB86659FD93  # factor of the second hash of a window
 NO_ID = 2**63 - 1
 KEEP = np.uint64(0xFFFFFFFFFFFF0000)  # anchors only select what is asked exactly later: 48 bits are enough
 
@@ -50,14 +52,14 @@ def anchors(word_hashes: np.ndarray, span: int = SPAN, seed: int = SEED) -> tupl
 class _Chunk:
     """A chunk's words as numbers, and what follows from them."""
 
-    def __init__(self, ids: list, counts: np.ndarray, codes: np.ndarray, low: np.ndarray, high: np.ndarray, span: int, seed: int):
+    def __init__(self, ids: list, counts: np.ndarray, codes: np.ndarray, hashes: np.ndarray, span: int, seed: int):
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        self.counts, self.codes, self.low, self.high = counts, codes, low, high
+        self.counts, self.codes, self.hashes = counts, codes, hashes
         self.ends = np.cumsum(counts)
         self.selected, self.anchor_count = [], []
         keys, owner = [], []
         for local in range(len(ids)):
-            runs, at = anchors(self.words(local, low), span, seed)
+            runs, at = anchors(self.words(local), span, seed)
             used, back = np.unique(runs[at], return_inverse=True)
             self.selected.append(back)
             self.anchor_count.append(len(used))
@@ -67,8 +69,8 @@ class _Chunk:
         self.order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[self.order], np.concatenate(owner)[self.order]
 
-    def words(self, local: int, hashes: np.ndarray) -> np.ndarray:
-        return hashes[self.codes[self.ends[local] - self.counts[local] : self.ends[local]]]
+    def words(self, local: int) -> np.ndarray:
+        return self.hashes[self.codes[self.ends[local] - self.counts[local] : self.ends[local]]]
 
     def windows(self, asides: pd.DataFrame, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash, further hash, document, start) of the windows that extend a shared anchor."""
@@ -79,8 +81,9 @@ class _Chunk:
             if n:
                 alive = np.flatnonzero(shared[at : at + n][back])
                 if len(alive):
-                    out.append(window_hashes(self.words(local, self.low), span)[alive])
-                    more.append(window_hashes(self.words(local, self.high), span)[alive])
+                    words = self.words(local)
+                    out.append(window_hashes(words, span)[alive])
+                    more.append(window_hashes(words, span, OTHER)[alive])
                     docs.append(np.full(len(alive), local, np.int64))
                     starts.append(alive)
             at += n
@@ -89,8 +92,8 @@ class _Chunk:
         return np.concatenate(out), np.concatenate(more), np.concatenate(docs), np.concatenate(starts)
 
 
-def number_words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each text, their numbers end to end, lower and upper half of each number's 128-bit hash)."""
+def number_words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, their numbers end to end, each number's hash)."""
     import xxhash
 
     class Numbers(dict):
@@ -103,23 +106,22 @@ def number_words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         words = split_words(text)
         counts.append(len(words))
         codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)), np.uint64).reshape(-1, 2)
-    return np.array(counts, np.int64), np.concatenate(codes), both[:, 1].copy(), both[:, 0].copy()
+    return np.array(counts, np.int64), np.concatenate(codes), np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
 
 
 def _numbers_path(path: str) -> str:
     return path + ".numbers"
 
 
-def _write_numbers(path: str, counts, codes, low, high) -> None:
-    rows = pa.table({k: pa.array([v.tobytes()], pa.large_binary()) for k, v in zip(("counts", "codes", "low", "high"), (counts, codes, low, high), strict=True)})
+def _write_numbers(path: str, counts, codes, hashes) -> None:
+    rows = pa.table({k: pa.array([v.tobytes()], pa.large_binary()) for k, v in zip(("counts", "codes", "hashes"), (counts, codes, hashes), strict=True)})
     chunks.write_table(_numbers_path(path), rows)
 
 
 def _load(path: str, span: int, seed: int) -> tuple[_Chunk, pa.Table]:
     table, kept = chunks.read_chunk(path), chunks.read_chunk(_numbers_path(path))
-    counts, codes, low, high = (np.frombuffer(kept.column(k)[0].as_py(), t) for k, t in (("counts", np.int64), ("codes", np.uint32), ("low", np.uint64), ("high", np.uint64)))
-    return _Chunk(table.column("doc_id").to_pylist(), counts, codes, low, high, span, seed), table
+    counts, codes, hashes = (np.frombuffer(kept.column(k)[0].as_py(), t) for k, t in (("counts", np.int64), ("codes", np.uint32), ("hashes", np.uint64)))
+    return _Chunk(table.column("doc_id").to_pylist(), counts, codes, hashes, span, seed), table
 
 
 def _bits(asides: pd.DataFrame, n: int) -> np.ndarray:
