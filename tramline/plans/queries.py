@@ -411,15 +411,24 @@ def boundary_inputs(r) -> tuple[DataFrame, DataFrame]:
     return ways, r("d_nodes").select("node_id", F.col("x").cast("double").alias("lon"), F.col("y").cast("double").alias("lat"))
 
 
-@query(f"""+ e AS (SELECT * FROM (VALUES {EDGES}) AS t(cx, cy, dx, dy)), p AS (SELECT way_id, pos, node_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {{d_refs}} JOIN {{d_nodes}} USING (node_id)),
+BOUNDARY = f"""+ e AS (SELECT * FROM (VALUES {EDGES}) AS t(cx, cy, dx, dy)), p AS (SELECT way_id, pos, node_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {{d_refs}} JOIN {{d_nodes}} USING (node_id)),
   s AS (SELECT a.way_id, a.pos, a.x AS ax, a.y AS ay, COALESCE(b.x, a.x) AS bx, COALESCE(b.y, a.y) AS by_ FROM p a LEFT JOIN p b ON a.way_id = b.way_id AND b.pos = a.pos + 1),
   q AS (SELECT way_id, pos, ax, ay, bx, by_, SUM(CASE WHEN (cy > ay) <> (dy > ay) AND ax < (dx - cx) * (ay - cy) / (dy - cy) + cx THEN 1 ELSE 0 END) % 2 = 1 AS a_in, SUM(CASE WHEN (cy > (ay + by_) / 2) <> (dy > (ay + by_) / 2) AND (ax + bx) / 2 < (dx - cx) * ((ay + by_) / 2 - cy) / (dy - cy) + cx THEN 1 ELSE 0 END) % 2 = 1 AS m_in,
-    MAX(CASE WHEN sign((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) * sign((bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax)) < 0 AND sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx)) < 0 THEN 1 ELSE 0 END) = 1 AS crosses FROM s, e GROUP BY ALL)
-  SELECT DISTINCT way_id FROM q WHERE a_in OR m_in OR crosses""")
+    MAX(CASE WHEN sign((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) * sign((bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax)) < 0 AND sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx)) < 0 THEN 1 ELSE 0 END) = 1 AS crosses FROM s, e GROUP BY ALL), kept AS (SELECT DISTINCT way_id FROM q WHERE a_in OR m_in OR crosses)"""
+
+
+@query(BOUNDARY + " SELECT way_id FROM kept")
 def boundary_way_filter(r):
     return spatial.ways_in_boundary(*boundary_inputs(r), RING)
 
 
+@query(BOUNDARY + """ SELECT n_nationkey AS relation_id FROM nation WHERE n_nationkey * 4 IN (SELECT way_id FROM kept)""")
+def boundary_relations(r):
+    ways, nodes = boundary_inputs(r)
+    members = r("nation").select(F.col("n_nationkey").alias("relation_id"), F.lit("way").alias("type"), (F.col("n_nationkey") * 4).alias("ref"))
+    return spatial.boundary_filter(ways, nodes, members, RING)["relations"]
+
+
 TRIANGLES = "SELECT a.node_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy FROM {d_nodes} a JOIN {d_nodes} b ON b.node_id = a.node_id + 1 JOIN {d_nodes} c ON c.node_id = a.node_id + 2"
 
 
