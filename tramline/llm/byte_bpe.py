@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, release
@@ -35,7 +35,8 @@ from .pretokens import splitter
 
 CHUNK_BYTES, CHUNK_WORDS, CHUNK_DOCS = 8 << 20, 200_000, 20_000
 LONG_WORD = 96
-NO_ID, NO_PAIR = 65535, 1 << 24  # NO_ID: an id no token has
+MAX_ID, NO_PAIR = 1 << 16, 1 << 24
+PLAN_TEXT = 1 << 16  # characters of a plan's text; it would hold the literal tables several times
 
 
 @lru_cache(2)
@@ -45,8 +46,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def pair_table(path: str) -> tuple[list[int], list[int]]:
-    """The rank map by row displacement: the pair (a, b) is at shift[a] + b, as a << 16 | rank."""
+def pair_table(path: str) -> tuple[list[int], list[int | None]]:
+    """The rank map by row displacement: the pair (a, b) is at shift[a] + b, as a << 16 | rank; other cells are null."""
     ranks = read_ranks(path)
     rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
@@ -55,7 +56,7 @@ def pair_table(path: str) -> tuple[list[int], list[int]]:
             if a is not None and b is not None:
                 rows.setdefault(a, []).append((b, rank))
     size = 1 << (sum(map(len, rows.values())).bit_length() + 2)
-    shift, cells = [0] * (max(ranks.values()) + 1), np.full(size + NO_ID + 1, NO_ID << 16, np.int64)
+    shift, cells = [0] * (max(ranks.values()) + 1), np.full(size + MAX_ID, -1, np.int64)
     free, rng = np.ones(len(cells), bool), np.random.default_rng(0)
     for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
         right, rank = np.array(rows[a], np.int64).T
@@ -65,7 +66,7 @@ def pair_table(path: str) -> tuple[list[int], list[int]]:
         shift[a] = int(at[0] - right[0])
         free[at] = False
         cells[at] = a << 16 | rank
-    return shift, cells.tolist()
+    return shift, [None if c < 0 else c for c in cells.tolist()]
 
 
 def literal_array(values: list, kind: str) -> Column:
@@ -81,8 +82,8 @@ def let(value: Column, body) -> Column:
 def fold_merges(word: Column, tables: Column) -> Column:
     """Token ids of a word given as byte ids: ranked merges, smallest rank first, leftmost first.
 
-    best is the least rank << 8 | position of a pair; a pair without a rank has more than 16 bits of rank,
-    those in which its left id and its cell's differ.
+    best is the least rank << 8 | position of a pair; a pair without a rank has a null cell, or more than 16
+    bits of rank, those in which its left id and its cell's differ.
     """
 
     def best(ids: Column) -> Column:
@@ -180,6 +181,7 @@ def pack_chunks(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> D
 def _merged(path: str) -> Column:
     """The ids of the chunk's distinct words."""
     shift, cells = pair_table(path)
+    SparkSession.active().conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     tables = F.struct(literal_array(shift, "long").alias("shift"), literal_array(cells, "long").alias("cells"))
     return let(tables, lambda t: F.transform("words", lambda w: fold_merges(w, t)))
 
