@@ -6,6 +6,7 @@ from collections import Counter
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tramline.llm import byte_bpe
@@ -56,3 +57,30 @@ def test_stages(spark, tmp_path):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
     assert Counter((r["doc_id"], tuple(r["ids"]), r["text"]) for r in outs[4]["rows"]) == Counter((r["doc_id"], tuple(enc.encode_ordinary(r["text"])), r["text"]) for r in outs[3]["rows"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(outs[4]["rows"])
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, repeated ids, a very long text, columns that clash, and no rows at all."""
+    rng = random.Random(2)
+    say = lambda n: " ".join(f"o{rng.randrange(10**6)}" for _ in range(n))
+    long = say(120_000)
+    rows = [(1, say(30), "en", "a", 7), (1, say(30), None, None, None), (None, say(30), "en", "a", 1), (2, None, None, "b", None), (3, "", "de", "b", 0), (4, long, "de", "a", len(long)), (5, say(5), "en", "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = ("my col", "a.b", "n_words", "removed", "kept_text", "size", "row", "score", "chunk", "cls", "ids", "docs")
+    for i, name in enumerate(odd):
+        docs = docs.withColumn(name, F.lit(i))
+    spark.createDataFrame([(1, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table, n in ((docs, len(rows)), (docs.limit(0), 0)):
+        for name, step in corpus_pipeline.STAGES[1:4]:
+            out = step(spark, table, str(tmp_path))
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            got = out.collect()
+            if name != "mixing":  # nothing here is a copy, all rows stay as they are
+                assert Counter(tuple(r) for r in got) == Counter(tuple(r) for r in table.collect())
+            assert all(r["n_words"] == 2 and r["a.b"] == 1 for r in got) and bool(got) == bool(n)
+        assert corpus_pipeline.remove_toxic(spark, table, str(tmp_path)).columns == docs.columns
+        assert corpus_pipeline.to_tokens(spark, table, str(tmp_path)).count() == n
+    # the results of one stage don't depend on what is run beside it
+    a = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path))
+    corpus_pipeline.cut_repeats(spark, docs, str(tmp_path))
+    assert a.count() == len(rows)
