@@ -88,3 +88,16 @@ def test_bundle_round_trip(spark, rows, tmp_path):
         assert path and all(links[a]["to_id"] == links[b]["from_id"] for a, b in zip(path, path[1:], strict=False))
     assert len(json.loads((out / "stops.geojson").read_text())["features"]) == sched["stop_facilities"].count()
     assert projector("EPSG:3857")[1](F.lit(0.0), F.lit(0.0)) is not None
+
+
+def test_feed_zip_equals_folder(spark, rows, tmp_path):
+    import os
+    import zipfile
+
+    folder = write_feed(tmp_path)
+    with zipfile.ZipFile(tmp_path / "feed.zip", "w") as z:
+        for name in os.listdir(folder):
+            if name.endswith(".txt"):
+                z.write(f"{folder}/{name}", f"inner/{name}")
+    a, b = timetable_csv.feed(spark, folder), timetable_csv.feed(spark, f"file://{tmp_path}/feed.zip")
+    assert a.keys() == b.keys() and all(rows(a[k].drop("row")) == rows(b[k].drop("row")) for k in a)

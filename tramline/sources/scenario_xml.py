@@ -191,7 +191,7 @@ EVENT = "_time double, _type string, _person string, _link string, _vehicle stri
 def event_columns(e: DataFrame) -> DataFrame:
     kind = F.lower(F.trim(F.col("_type")))
     names = F.create_map(*(F.lit(x) for kv in EVENT_ALIASES.items() for x in kv))
-    return e.select(F.col("_time").alias("time"), F.coalesce(names[kind], kind).alias("type"), F.col("_person").alias("person_id"), F.col("_link").alias("link_id"), F.col("_vehicle").alias("vehicle_id"), F.col("_facility").alias("facility_id"), F.col("_actType").alias("act_type"), F.col("_legMode").alias("leg_mode"))
+    return e.select(F.coalesce("_time", F.lit(0.0)).alias("time"), F.coalesce(names[kind], kind).alias("type"), F.col("_person").alias("person_id"), F.col("_link").alias("link_id"), F.col("_vehicle").alias("vehicle_id"), F.col("_facility").alias("facility_id"), F.col("_actType").alias("act_type"), F.col("_legMode").alias("leg_mode"))
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:

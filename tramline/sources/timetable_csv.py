@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 import zipfile
 
@@ -20,7 +21,8 @@ def unpack(spark: SparkSession, path: str) -> str:
 
     fs, root = FileSystem.from_uri(f"{shared_folder(spark)}/feeds/{uuid.uuid4().hex}")
     fs.create_dir(root, recursive=True)
-    with zipfile.ZipFile(path) as z:
+    store, at = FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    with store.open_input_file(at) as packed, zipfile.ZipFile(packed) as z:
         for name in z.namelist():
             if name.endswith(".txt"):
                 with z.open(name) as src, fs.open_output_stream(f"{root}/{name.rsplit('/', 1)[-1]}") as out:
