@@ -63,6 +63,25 @@ def test_bpe_chunks_do_not_matter(docs):
     assert ids == {(i, struct.pack(f"<{len(x)}I", *x).hex().upper()) for i, x in one}
 
 
+def test_bpe_folds_frequent_words_once(spark, tmp_path):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    rows = [(i, f"the riverbank, zqxjk{i} éaié 中文 {'ab' * 200}") for i in range(40)] + [(40, None), (None, " the once")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    common = byte_bpe.common_words(docs, path)
+    again = {" riverbank", "the", ",", " éaié", " 中文", " " + "ab" * 200}
+    assert again <= set(byte_bpe.known_texts(common).to_pylist()) and " once" not in byte_bpe.known_texts(common).to_pylist()
+    # a chunk of one document (an empty one shares its chunk) has only words of its own left for the fold
+    chunks = byte_bpe.pack_chunks(docs, path, 1, common).select(F.size("words").alias("n")).collect()
+    assert len(chunks) == 41 and max(r["n"] for r in chunks) <= 2
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    want = Counter((i, tuple(enc.encode_ordinary(t or ""))) for i, t in rows)
+    for n in (1, 1 << 20):
+        assert Counter((r["doc_id"], tuple(r["ids"])) for r in byte_bpe.encode(docs, path, n).collect()) == want
+        got = Counter((r["doc_id"], bytes(r["ids_le"]), bytes(r["decoded"])) for r in byte_bpe.round_trip(docs, path, n).collect())
+        assert got == Counter((i, struct.pack(f"<{len(ids)}I", *ids), enc.decode_bytes(ids)) for i, ids in want.elements())
+
+
 def test_latin_splitting_equals_the_pattern():
     import random
 
