@@ -45,7 +45,8 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = F.col("ids")
-    return byte_bpe.encode(docs, path).select("doc_id", F.size(ids).cast("long").alias("n_tokens"), ids, byte_bpe.decode(ids, path).cast("string").alias("text"))
+    # no sample: after the other stages' plans, the driver has no memory for a second one with the rank table
+    return byte_bpe.encode(docs, path, sample_bytes=0).select("doc_id", F.size(ids).cast("long").alias("n_tokens"), ids, byte_bpe.decode(ids, path).cast("string").alias("text"))
 
 
 STAGES = [

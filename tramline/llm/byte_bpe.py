@@ -140,12 +140,12 @@ def _lists(values: np.ndarray, lengths, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
 
 
-def as_words(ids: pa.Array, pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Each word's ids (lists of long) as little-endian unsigned 32-bit integers, and its bytes, both binary."""
+def as_words(ids: pa.Array, *pieces: pa.Array) -> tuple[pa.Array, ...]:
+    """Each word's ids (lists of long) as little-endian unsigned 32-bit integers, and its bytes if given, all binary."""
     ends = np.zeros(len(ids) + 1, np.int32)
     np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False) * 4, out=ends[1:])
     data = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-    return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(data)]), pieces
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(data)]), *pieces
 
 
 def _read(common: str, *columns: str) -> list[pa.Array]:
@@ -187,9 +187,10 @@ def common_words(docs: DataFrame, path: str, sample_bytes: int = SAMPLE_BYTES) -
     """Folds the words that a sample of docs holds at least twice, the most frequent first; where their ids are staged.
 
     The sample is a share of the rows, by the planner's size of docs; rows made in memory have no size and no sample.
+    Without sample_bytes there is none either: the driver then plans the literal tables once, not twice.
     """
     planned = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if planned >= 1 << 50:
+    if planned >= 1 << 50 or not sample_bytes:
         return None
 
     def count(batches):
@@ -277,31 +278,33 @@ def _merged(path: str) -> Column:
     return let(tables, lambda t: F.transform("words", lambda w: fold_merges(w, t)))
 
 
-def _folded(chunks: DataFrame, path: str) -> DataFrame:
-    """chunks with ids and pieces, the ids and the bytes of each of words, in its place."""
+def _folded(chunks: DataFrame, path: str, decoded: bool = True) -> DataFrame:
+    """chunks with the ids of each of words in its place; decoded adds pieces, their bytes."""
     piece = lambda p, ids: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""))
-    pieces = let(literal_array(_pieces(path), "string"), lambda p: F.transform("ids", lambda ids: piece(p, ids)))
-    return chunks.select(*(c for c in chunks.columns if c != "words"), _merged(path).alias("ids")).withColumn("pieces", pieces)
+    out = chunks.select(*(c for c in chunks.columns if c != "words"), _merged(path).alias("ids"))
+    if not decoded:
+        return out
+    return out.withColumn("pieces", let(literal_array(_pieces(path), "string"), lambda p: F.transform("ids", lambda ids: piece(p, ids))))
 
 
-def _documents(docs: DataFrame, path: str, chunk_bytes: int, schema: str, row) -> DataFrame:
-    """row(doc_ids, ids, bytes) -> the columns of schema, of slices of documents; ids and bytes are binary arrays."""
-    common = common_words(docs, path)
+def _documents(docs: DataFrame, path: str, chunk_bytes: int, sample_bytes: int, schema: str, row, decoded: bool) -> DataFrame:
+    """row(doc_ids, ids, bytes if decoded) -> the columns of schema, of slices of documents; ids and bytes are binary."""
+    common = common_words(docs, path, sample_bytes)
 
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                doc_ids, sizes, ids, pieces = (batch.column(c).slice(at, 1).flatten() for c in ("doc_ids", "sizes", "ids", "pieces"))
+                doc_ids, sizes, *folded = (batch.column(c).slice(at, 1).flatten() for c in ("doc_ids", "sizes", "ids", "pieces")[: 4 if decoded else 3])
                 index, ends = np.frombuffer(batch.column("index")[at].as_buffer(), np.int32), np.concatenate([[0], np.cumsum(sizes.to_numpy(), dtype=np.int64)])
-                words = as_words(ids, pieces)
+                words = as_words(*folded)
                 if common:
-                    words = [pa.concat_arrays(x) for x in zip(words, known_words(common), strict=True)]
+                    words = [pa.concat_arrays(x) for x in zip(words, known_words(common), strict=False)]
                 for i in range(0, len(sizes), OUT_DOCS):
                     own = ends[i : i + OUT_DOCS + 1]
                     yield pa.RecordBatch.from_arrays(row(doc_ids.slice(i, OUT_DOCS), *(_joined(w, index[own[0] : own[-1]], own - own[0]) for w in words)), [c.split()[0] for c in schema.split(", ")])
             release()
 
-    return _folded(pack_chunks(docs, path, chunk_bytes, common), path).mapInArrow(run, schema)
+    return _folded(pack_chunks(docs, path, chunk_bytes, common), path, decoded).mapInArrow(run, schema)
 
 
 def _joined(words: pa.Array, index: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -311,15 +314,15 @@ def _joined(words: pa.Array, index: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at), taken.buffers()[2]])
 
 
-def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, ids (array<long>) of every row of docs."""
 
-    def row(doc_ids, ids, pieces):
+    def row(doc_ids, ids):
         ends = np.frombuffer(ids.buffers()[1], np.int32)
         data = np.frombuffer(ids.buffers()[2] or b"", "<u4", ends[-1] // 4)
         return [doc_ids, _lists(data.astype(np.int64), np.diff(ends) // 4, pa.int64())]
 
-    return _documents(docs, path, chunk_bytes, "doc_id long, ids array<long>", row)
+    return _documents(docs, path, chunk_bytes, sample_bytes, "doc_id long, ids array<long>", row, False)
 
 
 def round_trip(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -327,7 +330,7 @@ def round_trip(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> Da
 
     Each distinct word's ids are decoded once; a document concatenates its words' pieces.
     """
-    return _documents(docs, path, chunk_bytes, "doc_id long, ids_le binary, decoded binary", lambda *columns: list(columns))
+    return _documents(docs, path, chunk_bytes, SAMPLE_BYTES, "doc_id long, ids_le binary, decoded binary", lambda *columns: list(columns), True)
 
 
 def _pieces(path: str) -> list[str]:
