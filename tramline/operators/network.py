@@ -323,23 +323,28 @@ def anchor_cycles(segments: DataFrame, routing: DataFrame) -> DataFrame:
 def cap_length(chain_rows: DataFrame, cap: float) -> DataFrame:
     """node_id of nodes inside car chains to keep so that no stretch passes cap: the running length restarts where it does.
 
-    The restart depends on the stretch before it, so a chain is walked in order; a chain is one road.
+    The restart depends on the stretch before it, so a chain is walked in order; a chain is one road. A task walks
+    all its chains in one pass over their sorted rows.
     """
-    import pandas as pd
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, out = 0.0, []
-        for head, length, last in pdf.sort_values("pos")[["head", "length", "last"]].itertuples(index=False):
-            total += length
-            if total > cap and not last:
-                out.append(head)
-                total = 0.0
-        return pd.DataFrame({"node_id": pd.Series(out, dtype="object")})
+    import pyarrow as pa
+
+    def walk(batches):
+        total = 0.0
+        for batch in batches:
+            out = []
+            length = batch.column("length").cast(pa.float64()).to_numpy(zero_copy_only=False).tolist()
+            for i, (more, first, last) in enumerate(zip(length, batch.column("first").to_pylist(), batch.column("last").to_pylist(), strict=True)):
+                total = more if first else total + more
+                if total > cap and not last:
+                    out.append(i)
+                    total = 0.0
+            yield pa.record_batch([batch.column("node_id").take(pa.array(out, pa.int64()))], names=["node_id"])
 
     car = F.array_contains("own.modes", "car") | F.array_contains("other.modes", "car")
-    last = F.col("pos") == F.max("pos").over(W.partitionBy("chain"))
-    rows = chain_rows.filter(car).withColumn("last", last).select("chain", "pos", "head", "length", "last")
-    return rows.groupBy("chain").applyInPandas(walk, "node_id string").distinct()
+    chain = W.partitionBy("chain")
+    rows = chain_rows.filter(car).select("chain", "pos", F.col("head").cast("string").alias("node_id"), "length").withColumn("first", F.row_number().over(chain.orderBy("pos")) == 1)
+    rows = rows.withColumn("last", F.coalesce(F.col("pos") == F.max("pos").over(chain), F.lit(False)))
+    return rows.select("node_id", "length", "first", "last").mapInArrow(walk, "node_id string").distinct()
 
 
 def repeated_spans(chain_rows: DataFrame) -> DataFrame:
