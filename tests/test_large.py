@@ -109,3 +109,34 @@ def test_links_that_share_lane_names_do_not_meet(spark, rows):
     plan = lanes.cycles_of(t)
     # lane 3 of all links leads to x of z, x to 3 of the least link: those two are a cycle
     assert rows(plan.filter("lane_id in ('3', 'x')")) == [("l00000", "3"), ("z", "x")] and plan.count() == 2 * n + 2
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_length_cap_walks_all_chains_of_a_task_in_one_pass(spark):
+    from tramline.operators import network
+
+    n, cap = 300, 250.0
+    side = F.struct(F.array(F.lit("car")).alias("modes"))
+    t = spark.range(n).select(F.col("id").cast("string").alias("chain"), F.explode(F.sequence(F.lit(0), (F.col("id") % 50).cast("int"))).alias("pos"))
+    t = t.select("chain", "pos", F.concat_ws("-", "chain", "pos").alias("head"), (F.pmod(F.xxhash64("chain", "pos"), F.lit(100)) + 1).cast("double").alias("length"), side.alias("own"), side.alias("other")).orderBy("head")
+    got = network.cap_length(t, cap)
+    want = []
+    for chain in {r["chain"] for r in t.collect()}:
+        total, own = 0.0, sorted((r for r in t.filter(F.col("chain") == chain).collect()), key=lambda r: r["pos"]) if int(chain) < 60 else []
+        for r in own:
+            total += r["length"]
+            if total > cap and r is not own[-1]:
+                want.append(r["head"])
+                total = 0.0
+    assert sorted(r[0] for r in got.collect() if int(r[0].split("-")[0]) < 60) == sorted(want) and want
+    assert "FlatMapGroupsInPandas" not in plan_of(got)  # a call for each chain
+
+
+def test_stop_offsets_sort_once(spark):
+    from tramline.operators import timetable
+
+    t = spark.createDataFrame([("T", 1, 1, "a", 0, 0, 1), ("T", 2, 2, "b", None, None, 0)], "trip_id string, stop_sequence int, row long, stop_id string, arrival int, departure int, timepoint int")
+    assert plan_of(timetable.stop_offsets(t)).split("== Initial Plan ==")[-1].count("Sort [") == 1

@@ -30,29 +30,32 @@ def stop_offsets(stop_times: DataFrame) -> DataFrame:
     takes the arrival before it (0 right after a run without timepoint). Runs without timepoint are spread evenly between their neighbours; a
     leading run starts at base, a trailing one ends 60 seconds after its last anchor. Offsets are at
     least 0. A trip with a departure before its arrival is not valid: its offsets are the raw times,
-    null as base.
+    null as base. All windows have the order that gives pos, so a task sorts its rows once.
     """
-    trip = W.partitionBy("trip_id").orderBy("pos")
-    before, after = trip.rowsBetween(W.unboundedPreceding, -1), trip.rowsBetween(1, W.unboundedFollowing)
+    trip = W.partitionBy("trip_id").orderBy("stop_sequence", "row")
+    before = trip.rowsBetween(W.unboundedPreceding, -1)
     upto = trip.rowsBetween(W.unboundedPreceding, 0)
     s = ordered_stop_times(stop_times).withColumn("timed", F.coalesce("timepoint", F.lit(1)) == 1)
     s = s.withColumn("base", F.coalesce(F.first("departure").over(trip), F.lit(0)).cast("double"))
-    s = s.withColumn("run", F.count_if("timed").over(upto)).withColumn("n", F.count("*").over(W.partitionBy("trip_id")))
+    s = s.withColumn("n", F.count("*").over(W.partitionBy("trip_id")))
     # a timepoint without an arrival carries what is before it: the last known arrival of its unbroken stretch of timepoints
     s = s.withColumn("stretch", F.count_if(~F.col("timed")).over(upto))
     s = s.withColumn("known", F.when(F.col("timed"), F.col("arrival").cast("double")))
-    s = s.withColumn("carried", F.last("known", ignorenulls=True).over(W.partitionBy("trip_id", "stretch").orderBy("pos")))
+    s = s.withColumn("at", F.last(F.when(F.col("known").isNotNull(), F.struct("stretch", "known")), ignorenulls=True).over(upto))
+    s = s.withColumn("carried", F.when(F.col("at.stretch") == F.col("stretch"), F.col("at.known")))
     # right after a run of other stops, whose times aren't known yet, it counts as 0
     after_run = F.col("carried").isNull() & (F.col("stretch") > 0)
     s = s.withColumn("arr", F.when(F.col("timed"), F.when(after_run, 0.0).otherwise(F.coalesce("carried", F.col("base")))))
     s = s.withColumn("dep", F.when(F.col("timed"), F.coalesce(F.col("departure").cast("double"), F.col("arr"))))
     last = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.col("base"))
+    following = lambda c: F.expr(f"lead({c}) ignore nulls over (partition by trip_id order by stop_sequence, row)")
     s = s.withColumn("prev_arr", last("arr")).withColumn("prev_dep", last("dep"))
-    s = s.withColumn("next_arr", F.coalesce(F.first("arr", ignorenulls=True).over(after), F.col("prev_arr") + 60))
-    s = s.withColumn("next_dep", F.coalesce(F.first("dep", ignorenulls=True).over(after), F.col("prev_dep") + 60))
-    run = W.partitionBy("trip_id", "run", "timed")
-    frac = F.row_number().over(run.orderBy("pos")) / (F.count("*").over(run) + 1)
-    s = s.withColumn("frac", frac)
+    s = s.withColumn("next_arr", F.coalesce(following("arr"), F.col("prev_arr") + 60))
+    s = s.withColumn("next_dep", F.coalesce(following("dep"), F.col("prev_dep") + 60))
+    # a stop of a run stands so many places behind the timepoint before the run
+    s = s.withColumn("place", F.when(F.col("timed"), F.col("pos")))
+    s = s.withColumn("from", F.coalesce(F.last("place", ignorenulls=True).over(before), F.lit(-1))).withColumn("to", F.coalesce(following("place"), F.col("n")))
+    s = s.withColumn("frac", (F.col("pos") - F.col("from")) / (F.col("to") - F.col("from")))
     spread = lambda a, b: F.col(a) + F.col("frac") * (F.col(b) - F.col(a))
     s = s.withColumn("arr", F.coalesce("arr", spread("prev_arr", "next_arr"))).withColumn("dep", F.coalesce("dep", spread("prev_dep", "next_dep")))
     off = lambda c: F.greatest(F.col(c) - F.col("base"), F.lit(0.0))
