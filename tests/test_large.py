@@ -140,3 +140,39 @@ def test_stop_offsets_sort_once(spark):
 
     t = spark.createDataFrame([("T", 1, 1, "a", 0, 0, 1), ("T", 2, 2, "b", None, None, 0)], "trip_id string, stop_sequence int, row long, stop_id string, arrival int, departure int, timepoint int")
     assert plan_of(timetable.stop_offsets(t)).split("== Initial Plan ==")[-1].count("Sort [") == 1
+
+
+def crowd(spark, n, seed):
+    """A dense place, an even spread and repeated coordinates."""
+    h = lambda m, k: F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(m))
+    x = lambda k: F.when(F.col("id") % 3 == 0, 500 + h(8, k) / 4).otherwise(h(1000, k).cast("double"))
+    return spark.range(n).select(F.col("id").alias("i"), x(1).alias("x"), x(2).alias("y"))
+
+
+def brute(spark, points, nodes, radius):
+    p, m = points.collect(), nodes.collect()
+    return {r["i"]: sorted((((r["x"] - q["x"]) ** 2 + (r["y"] - q["y"]) ** 2) ** 0.5, q["i"]) for q in m if ((r["x"] - q["x"]) ** 2 + (r["y"] - q["y"]) ** 2) ** 0.5 <= radius) for r in p}
+
+
+def test_nearest_nodes_and_stops_near_equal_all_pairs(spark, rows, monkeypatch):
+    from tramline.operators import spatial
+
+    met, real = [], spatial._meet
+    monkeypatch.setattr(spatial, "_meet", lambda many, few, reach, **k: met.append(reach) or real(many, few, reach, **k))
+    points, nodes = crowd(spark, 150, 1), crowd(spark, 1500, 7)
+    near = brute(spark, points, nodes, 200.0)
+    got = spatial.nearest_nodes(points.withColumnRenamed("i", "point_id"), nodes.withColumnRenamed("i", "node_id"), 3, 200.0)
+    assert sorted((r["point_id"], r["node_rank"], r["node_id"]) for r in got.collect()) == sorted((i, k + 1, q) for i, qs in near.items() for k, (_, q) in enumerate(qs[:3]))
+    assert len(met) > 3 and max(met) <= 200.0  # it begins near and goes on only as far as it has to
+    pairs = spatial.stops_near(points.withColumnRenamed("i", "point_id"), nodes.withColumnRenamed("i", "stop_id"), 200.0)
+    assert sorted((r["point_id"], r["stop_id"]) for r in pairs.collect()) == sorted((i, q) for i, qs in near.items() for _, q in qs)
+    assert "Window" not in plan_of(pairs)  # all pairs have no ranks
+
+
+def test_nearest_nodes_of_repeated_points(spark):
+    from tramline.operators import spatial
+
+    points = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 0.0), (1, 50.0, 0.0), (2, 9.0, 9.0), (2, None, 1.0), (None, 0.0, 1.0)], "point_id int, x double, y double")
+    nodes = spark.createDataFrame([(i, float(i), 0.0) for i in range(40)] + [(99, None, 0.0)], "node_id int, x double, y double")
+    got = {(r["point_id"], r["node_rank"]): r["node_id"] for r in spatial.nearest_nodes(points, nodes, 2, 20.0).collect()}
+    assert got == {(1, 1): 0, (1, 2): 0, (2, 1): 9, (2, 2): 8, (None, 1): 0, (None, 2): 1}

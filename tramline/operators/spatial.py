@@ -6,6 +6,8 @@ within the radius, a query point into its one cell, so a pair meets once and joi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from ..functions.geometry import crosses_ring, distance, in_ring, point, to_segm
 from ..functions.tags import mode_compatible
 from ..functions.text import best_similarity
 from .network import extent, resolve_ends
+from .staging import drop, stage
 
 
 def _cells(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column, reach: float) -> Column:
@@ -58,19 +61,76 @@ def nearest_links(points: DataFrame, links: DataFrame, nodes: DataFrame, n: int,
     return near.select(*points.columns, "link_id", F.col("at.distance").alias("link_distance"), F.col("at.x").alias("link_x"), F.col("at.y").alias("link_y"), F.col("at.fraction").alias("fraction"), "link_rank")
 
 
+DEALT = 500  # rows of a cell that one key holds
+DENSE = 8  # times n nodes in a cell, as a node sees it: from there on a search begins in smaller cells
+
+
+def _meet(many: DataFrame, few: DataFrame, reach: float, spread: bool = False) -> DataFrame:
+    """Rows of many (ax, ay) and few (bx, by) at most reach apart, with their distance. A full cell is dealt over several keys.
+
+    spread: tasks are as many as the session's shuffles have, however small the tables, since pairs are far more than rows.
+    """
+    a = many.withColumn("cell", _cell(F.col("ax"), F.col("ay"), reach))
+    b = few.withColumn("cell", _cells(F.col("bx"), F.col("by"), F.col("bx"), F.col("by"), reach))
+    held = a.groupBy("cell").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
+    a = a.withColumn("h", F.xxhash64(*many.columns)).join(held, "cell").withColumn("part", F.pmod("h", "parts").cast("int")).drop("h", "parts")
+    b = b.join(held, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    if spread:
+        spark = a.sparkSession
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+        a, b = a.repartition(tasks, "cell", "part").hint("merge"), b.repartition(tasks, "cell", "part")
+    c = {k: F.col(k).cast("double") for k in ("ax", "ay", "bx", "by")}
+    return a.join(b, ["cell", "part"]).withColumn("distance", distance(c["bx"], c["by"], c["ax"], c["ay"])).filter(F.col("distance") <= reach).drop("cell", "part")
+
+
+def _first_reach(stored: DataFrame, n: int, radius: float) -> float:
+    """radius, halved while a cell that wide holds many more than n nodes, in the mean over nodes; none narrower than 2^-20 of it."""
+    for _ in range(20):
+        held = stored.groupBy(_cell(F.col("ax"), F.col("ay"), radius).alias("cell")).agg(F.count("*").cast("double").alias("c"))
+        if (held.agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 0.0) <= DENSE * n:
+            break
+        radius /= 2
+    return radius
+
+
 def nearest_nodes(points: DataFrame, nodes: DataFrame, n: int, radius: float) -> DataFrame:
-    """point_id, node_id, node_distance, node_rank of the n nearest nodes within radius; ties by node_id."""
-    stored = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny")).withColumn("cell", _cells(F.col("nx"), F.col("ny"), F.col("nx"), F.col("ny"), radius))
-    d = distance(F.col("x").cast("double"), F.col("y").cast("double"), F.col("nx").cast("double"), F.col("ny").cast("double"))
-    near = points.withColumn("cell", _cell(F.col("x"), F.col("y"), radius)).join(stored, "cell").withColumn("node_distance", d).filter(F.col("node_distance") <= radius)
-    rank = F.row_number().over(W.partitionBy("point_id").orderBy("node_distance", "node_id"))
-    return near.withColumn("node_rank", rank).filter(F.col("node_rank") <= n).select("point_id", "node_id", "node_distance", "node_rank")
+    """point_id, node_id, node_distance, node_rank of the n nearest nodes within radius; ties by node_id.
+
+    A search begins in cells that hold few nodes. A point that finds n within the reach has its nearest; the others
+    go on with twice the reach, up to radius. So pairs grow with points and n, not with the nodes around.
+    """
+    if n < 1 or radius <= 0:
+        raise ValueError("n and radius must be positive")
+    # of nodes at one place only the n of least id can be among the nearest
+    place = F.row_number().over(W.partitionBy("ax", "ay").orderBy("node_id"))
+    stored = stage(nodes.select("node_id", F.col("x").alias("ax"), F.col("y").alias("ay")).filter("ax is not null and ay is not null").withColumn("place", place).filter(F.col("place") <= n).drop("place"), "near-nodes")
+    once = points.groupBy("point_id", F.col("x").alias("bx"), F.col("y").alias("by")).agg(F.count("*").cast("int").alias("times"))
+    left = stage(once.filter("bx is not null and by is not null").withColumn("p", F.monotonically_increasing_id()), "near-points")
+    rank = F.row_number().over(W.partitionBy("p").orderBy("distance", "node_id"))
+    reach, found = _first_reach(stored, n, radius), []
+    while True:
+        near = _meet(stored, left, reach).withColumn("rank", rank).filter(F.col("rank") <= n)
+        near = stage(near.select("p", "point_id", "times", "node_id", "distance", "rank"), "near")
+        if reach >= radius:
+            found.append(near)
+            break
+        done = near.filter(F.col("rank") == n).select("p")
+        found.append(near.join(done, "p", "left_semi"))
+        before, left = left, stage(left.join(done, "p", "left_anti"), "near-points")
+        drop(before)
+        if left.isEmpty():
+            break
+        reach = min(radius, reach * 2)
+    every = reduce(DataFrame.unionByName, found).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    rank = F.row_number().over(W.partitionBy("point_id").orderBy("distance", "node_id"))
+    return every.select("point_id", "node_id", F.col("distance").alias("node_distance"), rank.alias("node_rank")).filter(F.col("node_rank") <= n)
 
 
 def stops_near(points: DataFrame, stops: DataFrame, radius: float) -> DataFrame:
-    """point_id, stop_id, stop_distance of all stops within radius."""
-    near = nearest_nodes(points, stops.select(F.col("stop_id").alias("node_id"), "x", "y"), 2**31 - 1, radius)
-    return near.select("point_id", F.col("node_id").alias("stop_id"), F.col("node_distance").alias("stop_distance"))
+    """point_id, stop_id, stop_distance of all stops within radius: as many rows as there are pairs."""
+    many = points.select("point_id", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    few = stops.select("stop_id", F.col("x").alias("bx"), F.col("y").alias("by"))
+    return _meet(many, few, radius, spread=True).select("point_id", "stop_id", F.col("distance").alias("stop_distance"))
 
 
 #: Candidate search: links kept by distance before the mode filter, and score weights.
@@ -172,8 +232,6 @@ def parallel_tracks(ways: DataFrame, nodes: DataFrame, tolerance: float = 30.0)
     ways: way_id, railway, refs. A duplicate doesn't claim others: pairs whose lesser way is itself one
     are settled in rounds, least ids first.
     """
-    from .staging import stage
-
     own = ways.filter("railway is not null and size(refs) >= 2")
     pts = own.select("way_id", "railway", F.size("refs").alias("n"), F.posexplode("refs").alias("pos", "node_id")).join(nodes.select("node_id", "x", "y"), "node_id")
     lines = pts.groupBy("way_id", "railway", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("pts")).filter(F.size("pts") == F.col("n"))
