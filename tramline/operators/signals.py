@@ -42,7 +42,7 @@ def junction_clusters(signals: DataFrame, links: DataFrame, threshold: float = 0
     leaves each signal alone. Complete linkage, shortest edges first, inside each connected group of paths;
     such a group is one interchange.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     alone = signals.select("node_id", F.col("node_id").alias("cluster"))
     if threshold <= 0:
@@ -52,18 +52,33 @@ def junction_clusters(signals: DataFrame, links: DataFrame, threshold: float = 0
     groups = weak_components(edges)
     rows = edges.join(groups.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "length")
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = {(r.a, r.b) for r in pdf.itertuples()}
-        member = {n: {n} for n in {*pdf["a"], *pdf["b"]}}
-        for r in pdf.sort_values(["length", "a", "b"]).itertuples():
-            x, y = member[r.a], member[r.b]
+    def clustered(edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
+        near = set(edges)
+        member = {n: {n} for e in edges for n in e}
+        for a, b in edges:
+            x, y = member[a], member[b]
             if x is not y and all((min(p, q), max(p, q)) in near for p in x for q in y):
                 x |= y
                 for n in y:
                     member[n] = x
-        return pd.DataFrame([(n, min(s)) for n, s in member.items()], columns=["node_id", "cluster"])
-
-    joined = rows.groupBy("component").applyInPandas(link, "node_id string, cluster string")
+        return [(n, min(s)) for n, s in member.items()]
+
+    def link(batches):
+        """All groups of a task in one pass over its sorted edges."""
+        frame = lambda found: pa.record_batch([pa.array([n for n, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=["node_id", "cluster"])
+        own, edges = None, []
+        for batch in batches:
+            found = []
+            for component, a, b in zip(*(batch.column(c).to_pylist() for c in ("component", "a", "b")), strict=True):
+                if component != own:
+                    found += clustered(edges)
+                    own, edges = component, []
+                edges.append((a, b))
+            yield frame(found)
+        yield frame(clustered(edges))
+
+    ordered = rows.repartition("component").sortWithinPartitions("component", "length", "a", "b").select("component", "a", "b")
+    joined = ordered.mapInArrow(link, "node_id string, cluster string")
     clusters = stage(alone.join(joined.withColumnRenamed("cluster", "c"), "node_id", "left").select("node_id", F.coalesce("c", "cluster").alias("cluster")), "signal-clusters")
     end = lambda name, cluster: clusters.select(F.col("node_id").alias(name), F.col("cluster").alias(cluster))
     return clusters, paths.join(end("a", "cluster"), "a").join(end("b", "other"), "b").filter("cluster = other").select("cluster", "path")
