@@ -176,3 +176,34 @@ def test_nearest_nodes_of_repeated_points(spark):
     nodes = spark.createDataFrame([(i, float(i), 0.0) for i in range(40)] + [(99, None, 0.0)], "node_id int, x double, y double")
     got = {(r["point_id"], r["node_rank"]): r["node_id"] for r in spatial.nearest_nodes(points, nodes, 2, 20.0).collect()}
     assert got == {(1, 1): 0, (1, 2): 0, (2, 1): 9, (2, 2): 8, (None, 1): 0, (None, 2): 1}
+
+
+def staged_plans(monkeypatch, module) -> list[str]:
+    plans, real = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: plans.append(plan_of(df)) or real(df, name))
+    return plans
+
+
+def test_rounds_broadcast_no_staged_table(spark, rows, monkeypatch):
+    from tramline.operators import network
+
+    plans = staged_plans(monkeypatch, network)
+    e = spark.range(300).filter("id % 10 < 9").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert rows(network.weak_components(e, local_edges=0)) == sorted([(i, i - i % 10) for i in range(300)], key=repr)
+    ring = e.unionByName(spark.range(300).filter("id % 30 = 29").select(F.col("id").alias("a"), (F.col("id") - 9).alias("b")))
+    assert rows(network.strong_components(ring, local_edges=0)) == sorted([(i, i - i % 10 if i % 30 >= 20 else i) for i in range(300)], key=repr)
+    assert len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_complete_linkage_takes_all_groups_of_a_task_in_one_pass(spark, rows, monkeypatch):
+    from tramline.operators import signals
+
+    plans = staged_plans(monkeypatch, signals)
+    # groups of three in a row, the second step longer: the ends are too far apart, so the first two are one cluster
+    g = spark.range(200).select(F.lpad("id", 3, "0").alias("g"))
+    lit = g.select(F.explode(F.array(*(F.concat("g", F.lit(n)) for n in "abc"))).alias("node_id"))
+    step = F.explode(F.array(F.struct(F.lit("a").alias("f"), F.lit("b").alias("t"), F.lit(20.0).alias("length")), F.struct(F.lit("b").alias("f"), F.lit("c").alias("t"), F.lit(30.0).alias("length"))))
+    links = g.select("g", step.alias("s")).select(F.concat("g", "s.f").alias("from_id"), F.concat("g", "s.t").alias("to_id"), "s.length", F.lit("a_link").alias("link_class"))
+    clusters, _ = signals.junction_clusters(lit, links, 40.0)
+    assert rows(clusters) == sorted([(f"{i:03d}{n}", f"{i:03d}{c}") for i in range(200) for n, c in ("aa", "ba", "cc")], key=repr)
+    assert not any("FlatMapGroupsInPandas" in p for p in plans[-1:])  # a call for each group

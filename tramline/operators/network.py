@@ -14,11 +14,19 @@ from .staging import drop, stage
 ARTIFICIAL = "pt_"
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """For a join of rows with another growing table: both are dealt by key.
+
+    A staged table's file is a fraction of its rows, so planned by size it would be broadcast, through the driver.
+    """
+    return rows.hint("merge")
+
+
 def resolve_ends(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """links with the coordinates of both ends; null where the node is missing."""
     a = nodes.select(F.col("node_id").alias("from_id"), F.col("x").alias("from_x"), F.col("y").alias("from_y"), F.lit(True).alias("has_from"))
     b = nodes.select(F.col("node_id").alias("to_id"), F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.lit(True).alias("has_to"))
-    return links.join(a, "from_id", "left").join(b, "to_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_from", "has_to")})
+    return apart(apart(links).join(a, "from_id", "left")).join(b, "to_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_from", "has_to")})
 
 
 def require_ends(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,12 +156,12 @@ def weak_components(edges: DataFrame, a: str = "a", b: str = "b", local_edges: i
         return _in_one_task(e, _weak)
     both = stage(e.union(e.select("b", "a")).filter("a <> b").distinct(), "edges")
     loops = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = stage(loops.join(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")), "node", "left").select("node", F.least("node", F.coalesce("m", F.col("node"))).alias("component")), "labels")
+    labels = stage(apart(loops).join(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")), "node", "left").select("node", F.least("node", F.coalesce("m", F.col("node"))).alias("component")), "labels")
     while True:
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        met = labels.join(seen, "node", "left").select("node", "component", F.least("component", F.coalesce("seen", F.col("component"))).alias("met"))
+        seen = apart(both).join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
+        met = apart(labels).join(seen, "node", "left").select("node", "component", F.least("component", F.coalesce("seen", F.col("component"))).alias("met"))
         jump = labels.select(F.col("node").alias("met"), F.col("component").alias("far"))
-        new = stage(met.join(jump, "met", "left").select("node", F.least("met", F.coalesce("far", F.col("met"))).alias("component"), F.col("component").alias("old")), "labels")
+        new = stage(apart(met).join(jump, "met", "left").select("node", F.least("met", F.coalesce("far", F.col("met"))).alias("component"), F.col("component").alias("old")), "labels")
         changed = new.filter("component <> old").limit(1).count()
         drop(labels)
         labels = new
@@ -182,7 +190,7 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
     def inner(ends: DataFrame) -> DataFrame:
         """Edges between the nodes of ends, in place of left's."""
         keep = lambda c: ends.select(F.col("node").alias(c))
-        got = stage(left.join(keep("a"), "a", "left_semi").join(keep("b"), "b", "left_semi"), "scc-edges")
+        got = stage(apart(apart(left).join(keep("a"), "a", "left_semi")).join(keep("b"), "b", "left_semi"), "scc-edges")
         drop(left)
         return got
 
@@ -190,13 +198,13 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
     while True:
         if left.count() <= local_edges:
             found = stage(_in_one_task(left, _strong), "scc-done")
-            settle(rest.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+            settle(apart(rest).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
             return out
         # trim
         real = left.filter("a <> b")
-        good = rest.join(real.select(F.col("a").alias("node")).distinct(), "node", "left_semi").join(real.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+        good = apart(apart(rest).join(real.select(F.col("a").alias("node")).distinct(), "node", "left_semi")).join(real.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
         good = stage(good, "scc-nodes")
-        gone = stage(rest.join(good, "node", "left_anti"), "scc-trim")
+        gone = stage(apart(rest).join(good, "node", "left_anti"), "scc-trim")
         if not gone.isEmpty():
             settle(gone.withColumn("component", F.col("node")))
             drop(rest)
@@ -205,22 +213,22 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
             continue
         colour = front = stage(rest.withColumn("colour", F.col("node")), "scc-colour")
         while not front.isEmpty():  # only those that changed push their colour on
-            got = left.join(front, left["a"] == front["node"]).groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("in"))
-            new = stage(colour.join(got, "node", "left").select("node", F.least("colour", F.coalesce("in", F.col("colour"))).alias("colour"), F.coalesce(F.col("in") < F.col("colour"), F.lit(False)).alias("moved")), "scc-colour")
+            got = apart(left).join(front, left["a"] == front["node"]).groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("in"))
+            new = stage(apart(colour).join(got, "node", "left").select("node", F.least("colour", F.coalesce("in", F.col("colour"))).alias("colour"), F.coalesce(F.col("in") < F.col("colour"), F.lit(False)).alias("moved")), "scc-colour")
             if colour is not front:
                 drop(colour)
             colour, front = new, new.filter("moved").select("node", "colour")
         colour = colour.select("node", "colour")
-        ends = left.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b")
+        ends = apart(apart(left).join(colour.select(F.col("node").alias("a"), F.col("colour").alias("ca")), "a")).join(colour.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b")
         inside = stage(ends.filter("ca = cb").select("a", "b", F.col("ca").alias("colour")), "scc-inside")
         found = front = stage(colour.filter("node = colour"), "scc-found")
         while not front.isEmpty():
-            back = inside.join(front.select(F.col("node").alias("b"), "colour"), ["b", "colour"]).select(F.col("a").alias("node"), "colour").distinct()
-            front = stage(back.join(found, ["node", "colour"], "left_anti"), "scc-front")
+            back = apart(inside).join(front.select(F.col("node").alias("b"), "colour"), ["b", "colour"]).select(F.col("a").alias("node"), "colour").distinct()
+            front = stage(apart(back).join(found, ["node", "colour"], "left_anti"), "scc-front")
             found = found.unionByName(front)
         drop(inside)
         settle(found.withColumnRenamed("colour", "component"))
-        rest = stage(rest.join(found, "node", "left_anti"), "scc-nodes")
+        rest = stage(apart(rest).join(found, "node", "left_anti"), "scc-nodes")
         left = inner(rest)
 
 
@@ -228,7 +236,7 @@ def largest_strong_links(links: DataFrame) -> DataFrame:
     """link_id of the links inside the strongly connected component with the most links (ties: the least node)."""
     comp = strong_components(links.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
     c = stage(comp, "scc")
-    inside = links.join(c.select(F.col("node").alias("from_id"), F.col("component").alias("component")), "from_id").join(c.select(F.col("node").alias("to_id"), F.col("component").alias("other")), "to_id").filter("component = other").select("link_id", "component")
+    inside = apart(apart(links).join(c.select(F.col("node").alias("from_id"), F.col("component").alias("component")), "from_id")).join(c.select(F.col("node").alias("to_id"), F.col("component").alias("other")), "to_id").filter("component = other").select("link_id", "component")
     inside = stage(inside, "scc-links")
     best = inside.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
     return inside.join(F.broadcast(best), "component", "left_semi").select("link_id")  # one row
@@ -241,23 +249,23 @@ def clean(nodes: DataFrame, links: DataFrame, routable: list[str], source_ways:
     strongly connected component go; they are grouped by the nodes they share. Links of other modes stay.
     """
     invalid = stage(invalid_links(links, nodes), "invalid")
-    left = stage(links.join(invalid, "link_id", "left_anti"), "valid")
+    left = stage(apart(links).join(invalid, "link_id", "left_anti"), "valid")
     kept, touched = None, left.filter(F.arrays_overlap("modes", F.array(*map(F.lit, routable)))).select("link_id")
     for mode in sorted(set(routable)):
         own = left.filter(F.array_contains("modes", mode))
         if not own.isEmpty():
             best = largest_strong_links(own)
             kept = best if kept is None else kept.unionByName(best)
-    gone = touched if kept is None else touched.join(kept.distinct(), "link_id", "left_anti")
+    gone = touched if kept is None else apart(touched).join(kept.distinct(), "link_id", "left_anti")
     gone = stage(gone, "gone")
-    lost = left.join(gone, "link_id", "left_semi")
+    lost = apart(left).join(gone, "link_id", "left_semi")
     groups = weak_components(lost, "from_id", "to_id")
-    quarantined = lost.join(groups, lost["from_id"] == groups["node"]).select("link_id", F.col("component").alias("group"))
+    quarantined = apart(lost).join(groups, lost["from_id"] == groups["node"]).select("link_id", F.col("component").alias("group"))
     if source_ways is not None:  # link_id, way_id: what a quarantined link was built from
-        quarantined = quarantined.join(source_ways.groupBy("link_id").agg(F.array_sort(F.collect_set("way_id")).alias("ways")), "link_id", "left")
-    final = stage(left.join(gone, "link_id", "left_anti"), "clean-links")
+        quarantined = apart(quarantined).join(source_ways.groupBy("link_id").agg(F.array_sort(F.collect_set("way_id")).alias("ways")), "link_id", "left")
+    final = stage(apart(left).join(gone, "link_id", "left_anti"), "clean-links")
     used = final.select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct()
-    return {"nodes": nodes.join(used, "node_id", "left_semi"), "links": final, "invalid": invalid, "quarantined": quarantined}
+    return {"nodes": apart(nodes).join(used, "node_id", "left_semi"), "links": final, "invalid": invalid, "quarantined": quarantined}
 
 
 # --- contraction ------------------------------------------------------------------------------------
